@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import chat_format, exact_dedup, mixing
 
-MODULES = [exact_dedup]
+MODULES = [exact_dedup, chat_format, mixing]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 for m in MODULES:
