@@ -87,10 +87,11 @@ def keyed_state(
             "spark.sql.streaming.stateStore.providerClass",
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage",
             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB",
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate",  # else each partition's store takes megabytes of empty files
             "spark.sql.streaming.noDataMicroBatches.enabled",
         )
     }
-    for k, v in zip(held, (ROCKS, "true", "300", "false"), strict=True):
+    for k, v in zip(held, (ROCKS, "true", "300", "false", "false"), strict=True):
         spark.conf.set(k, v)
     try:
         (
