@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import starts
+
 
 @dataclass(frozen=True)
 class Template:
@@ -68,19 +70,6 @@ def role_in(t: Template, role: Column) -> Column:
     return t.unescape(F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%")))
 
 
-def starts(lengths: Column, run: int = 256) -> Column:
-    """Exclusive running sums, by runs so that long arrays cost little more than short ones."""
-    zero = F.lit(0).cast("long")
-    sums = lambda xs: F.aggregate(xs, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / run).cast("int")), lambda k: F.slice(lengths, k * run + 1, run))
-    total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
-    base = sums(F.transform(runs, total))
-    inner = F.transform(runs, lambda xs, k: F.transform(sums(xs), lambda s: s + F.element_at(base, k + 1)))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.flatten(F.transform(inner, lambda xs: F.slice(xs, 1, F.size(xs) - 1)))
-    )
-
-
 def chat_format(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", template: Template | None = None) -> DataFrame:
     """One row per conversation: ``<key>``, ``formatted`` and ``loss_mask`` (array of start, length).
 
