@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,14 +57,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(marks, rf"[{SPACE}]", "")), F.lit(0)).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def starts(lengths: Column, run: int = 256) -> Column:
     """Exclusive running sums, by runs so that long arrays cost little more than short ones."""
     zero = F.lit(0).cast("long")
     sums = lambda xs: F.aggregate(xs, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / run).cast("int")), lambda k: F.slice(lengths, k * run + 1, run))
     total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
-    base = sums(F.transform(runs, total))
-    inner = F.transform(runs, lambda xs, k: F.transform(sums(xs), lambda s: s + F.element_at(base, k + 1)))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.flatten(F.transform(inner, lambda xs: F.slice(xs, 1, F.size(xs) - 1)))
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / run).cast("int")), lambda k: F.slice(v, k * run + 1, run))
+    inside = lambda xs, first: F.transform(F.slice(sums(xs), 1, F.size(xs)), lambda s: s + first)
+    joined = lambda runs: let(
+        sums(F.transform(runs, total)), lambda base: F.flatten(F.transform(runs, lambda xs, k: let(F.element_at(base, k + 1), lambda first: inside(xs, first))))
     )
+    return let(lengths, lambda v: F.when(F.size(v) > 0, let(cut(v), joined)).otherwise(F.array().cast("array<bigint>")))
