@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, mixing, pii
+from . import chat_format, exact_dedup, mixing, packing, pii
 
-MODULES = [exact_dedup, chat_format, mixing, pii]
+MODULES = [exact_dedup, chat_format, packing, mixing, pii]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 for m in MODULES:
