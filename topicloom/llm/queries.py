@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, mixing, near_dup, packing, pii
+from . import chat_format, exact_dedup, langid, mixing, near_dup, packing, pii
 
-MODULES = [exact_dedup, chat_format, packing, mixing, pii, near_dup]
+MODULES = [exact_dedup, chat_format, packing, mixing, pii, langid, near_dup]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 for m in MODULES:
