@@ -108,23 +108,25 @@ def revealing(found: DataFrame, docs: DataFrame, text: str, disclosure: float, m
     known = settle(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= min_docs), "pii-entities")
     if known.isEmpty():
         return None
+    n = docs.count()
+    p = lambda c: F.col(c) / F.lit(float(n))
+    words = some.select("rid", F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term"))
+    least = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_least")).filter(F.col("n_least") >= min_docs)
     held = held.join(known, "entity").select("rid", "entity")
-    words = some.join(held.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term"))
     pairs = held.join(words, "rid").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_tc")).filter(F.col("n_tc") >= min_docs)
-    pairs = settle(pairs, "pii-pairs")
+    pairs = pairs.join(known, "entity").withColumn("ic", -F.log2(p("n_c"))).filter(F.col("n_tc") * F.col("ic") >= min_bits)
+    # A term is too common for a pair already if it is so among the documents that hold entities.
+    pairs = pairs.withColumn("n_most", F.col("n_tc") * F.pow(F.lit(2.0), F.col("ic") * (1 - disclosure)))
+    pairs = settle(pairs.join(least, "term").filter(F.col("n_least") <= F.col("n_most") * (1 + 1e-9)).drop("n_least", "n_most"), "pii-pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
         return None
-    n = docs.count()
     every = docs.select(F.explode(terms_of(F.col(text), base_spans(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
     met = every.join(F.broadcast(terms) if n_terms <= broadcast_terms else terms, "term", "left_semi")
     df = met.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    p = lambda c: F.col(c) / F.lit(float(n))
-    scored = pairs.join(df, "term").join(known, "entity")
-    scored = scored.withColumn("ic", -F.log2(p("n_c"))).withColumn("pmi", F.log2(p("n_tc") / (p("n_t") * p("n_c"))))
-    over = (F.col("pmi") >= disclosure * F.col("ic")) & (F.col("n_tc") * F.col("ic") >= min_bits)
-    return settle(scored.filter(over).select("entity", "term", "pmi", "ic"), "pii-revealing")
+    scored = pairs.join(df, "term").withColumn("pmi", F.log2(p("n_tc") / (p("n_t") * p("n_c"))))
+    return settle(scored.filter(F.col("pmi") >= disclosure * F.col("ic")).select("entity", "term", "pmi", "ic"), "pii-revealing")
 
 
 def sanitise(
