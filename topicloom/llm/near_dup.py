@@ -34,6 +34,8 @@ BANDS = SLOTS // ROWS
 PART = 4096
 #: A task verifies about so many classes and shingles at once.
 BLOCK, WEIGHT = 1500, 2_000_000
+#: Up to so many ids of documents with ties (16 bytes each) are broadcast to pick the texts that are needed.
+BROADCAST_IDS = 3_000_000
 
 
 def signed(k: int):
@@ -252,8 +254,10 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80, row_id: str = "doc_
     pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
     )
-    members = members.select("id", "digest", "family", pairs.alias("pairs"))
-    whole = source.join(members, "id").select("family", F.explode("pairs").alias("p"), "id", "digest", "text")
+    members = settle(members.select("id", "digest", "family", pairs.alias("pairs")), "near-blocks")
+    if members.count() <= BROADCAST_IDS:  # else every text goes to meet its family, if any
+        source = source.join(F.broadcast(members.select("id").distinct()), "id", "left_semi")
+    whole = source.join(members.hint("merge"), "id").select("family", F.explode("pairs").alias("p"), "id", "digest", "text")
     whole = whole.select("family", "p.i", "p.j", "id", "digest", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     links = settle(whole.mapInArrow(verified(k, percent), "u long, v long"), "near-links")
     found = components(links, "near-groups")
