@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, langid, mixing, near_dup, packing, pii, substring
+from . import ann, chat_format, exact_dedup, langid, mixing, near_dup, packing, pii, substring, warc
 
-MODULES = [exact_dedup, chat_format, packing, mixing, substring, pii, langid, near_dup]
+MODULES = [exact_dedup, chat_format, packing, mixing, substring, warc, pii, langid, near_dup, ann]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 for m in MODULES:
