@@ -31,9 +31,9 @@ from .common import settle
 from .shingles import G, mix, words_of
 
 #: Words of a batch that settles its own repeats.
-BATCH_WORDS = 1_500_000
+BATCH_WORDS = 1_000_000
 #: Bytes of stored input for each prefix group: what one task holds at once.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 4 << 20
 
 
 class Ids(dict):
