@@ -45,6 +45,11 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'page:{page_id}'.encode()).digest())}>"
 
 
+def escaped(url: str) -> str:
+    """Fit for a header line: anything but printable ASCII percent-encoded."""
+    return quote(url, safe="".join(map(chr, range(33, 127))))
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, date: str) -> bytes:
     """A record; ``first`` is the page that a revisit refers to, or None for a response."""
     revisit = first is not None
@@ -52,7 +57,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, fi
     block = http if revisit else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
+        lines.append(f"WARC-Target-URI: {escaped(url)}")
     lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"Content-Length: {len(block)}"]
     if page_id is not None:
         lines.append(f"Page-ID: {page_id}")
@@ -97,6 +102,7 @@ def written(directory: str, date: str, level: int, most: int):
             rows = []
             for page, url, payload, digest, first in zip(*(b.column(i) for i in range(5)), strict=True):
                 page, url, first, body = page.as_py(), url.as_py(), first.as_py(), payload.as_py().encode()
+                url = None if url is None else escaped(url)
                 raw = gzip.compress(record(page, url, body, digest.as_py(), first, date), level, mtime=0)
                 if out is None or at + len(raw) > most and at:
                     if out is not None:
