@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # English function words (public list of Spark's StopWordsRemover, without forms that hold
 # an apostrophe) and the fragments that tokenisers leave of those.
@@ -112,7 +113,7 @@ def no_contractions(text: Column) -> Column:
     return F.lower(F.replace(F.regexp_replace(text, r"(?i)'(?:t|s|re|ve|ll|d|m)\b", ""), F.lit("'"), F.lit("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if c.isprintable()))
 
