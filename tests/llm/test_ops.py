@@ -177,9 +177,11 @@ def test_near_dup_large_buckets_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, near_dup.near_dup(df, k=4).collect())) == whole
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, None])
+def test_components(spark, small):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)] + [(500, x) for x in range(501, 560)]
-    got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long"), small=small).collect()))
+    assert components(spark.createDataFrame(edges[:0], "u long, v long"), small=small).count() == 0
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100, 500: 500, **{x: 500 for x in range(501, 560)}}
 
 
