@@ -10,8 +10,10 @@ lost executor costs one task. A partition holds at most ``buffer`` pieces at a t
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,10 @@ TOKENIZER = "word_bpe_49k.json"
 #: Fill (as a part of the length) from which a bin is done, by level; the last holds from there on.
 FILLS = (0.98, 0.9, 0.75, 0.5)
 FAN_IN = 8
+#: Marks that the tokenizer parts from the letters before them.
+MARKS = frozenset(b"%c" % c for c in b".,;:!?")
+#: Letters that neither composition nor lower-casing turns into more than a letter.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]{1,999}").fullmatch
 
 
 class WordEncoder:
@@ -35,52 +41,89 @@ class WordEncoder:
     Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, words: int = 400_000, ids: int = 4_000_000) -> None:
+    def __init__(self, path: str, words: int = 800_000, ids: int = 4_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = words, ids
+        #: Whether an id ends a word; the vocabulary writes that as a suffix.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.cores: dict[bytes, bytes] = {}
         self.flat = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def raw(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.flat.dtype).tobytes()
+
+    def put(self, words: list[bytes], ids: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.flat.itemsize
+        at, used = len(self.index), self.used + int(sizes.sum())
+        while used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + len(ids) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.flat[self.used : used] = np.frombuffer(b"".join(ids), self.flat.dtype)
+        self.begin[at : at + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.size[at : at + len(ids)] = sizes
+        self.used = used
+        self.index.update(zip(words, range(at, at + len(ids)), strict=True))
+
     def learn(self, new: list[bytes]) -> None:
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids, at = got.ids, len(self.index)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if at == len(self.begin):
-                    self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.begin[at], self.size[at] = self.used, len(ids)
-                self.used += len(ids)
-                self.index[word] = at
+        """Ids of new words. Latin letters and one mark behind them are looked up in parts."""
+        whole: list[bytes] = []
+        cut: list[tuple[bytes, bytes]] = []
+        other: list[bytes] = []
+        for w in new:
+            core, mark = (w[:-1], w[-1:]) if w[-1:] in MARKS else (w, b"")
+            if core.isalpha():  # of bytes: ASCII letters only
+                core = core.lower()
+            elif core.isascii() or not LATIN(core.decode()):
+                other.append(w)
+                continue
+            whole.append(w)
+            cut.append((core, mark))
+        cores = self.cores
+        todo = [c for c in {x: None for pair in cut for x in pair if x} if c not in cores]
+        for k in range(0, len(todo), 4096):
+            part = todo[k : k + 4096]
+            ids = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(part):  # a tokenizer that doesn't end each word with a mark of its own
+                cores.update((c, self.raw(e.ids)) for c, e in zip(part, self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True))
+            else:
+                raw, size = self.raw(ids), self.flat.itemsize
+                cores.update((c, raw[x * size : y * size]) for c, x, y in zip(part, [0, *ends], ends))
+        self.put(whole, [cores[c] + cores[m] if m else cores[c] for c, m in cut])
+        for k in range(0, len(other), 4096):
+            part = other[k : k + 4096]
+            self.put(part, [self.raw(e.ids) for e in self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)])
 
     def encode(self, text: str) -> np.ndarray:
         words = text.encode().split()
         if not words:
             return np.zeros(0, np.uint32)
-        index = self.index
-        try:
-            at = [index[w] for w in words]
-        except KeyError:
-            if len(index) > self.most[0] or self.used > self.most[1]:
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            if len(self.index) + len(self.cores) > self.most[0] or self.used > self.most[1]:
                 self.clear()
-                index = self.index
-            self.learn([w for w in dict.fromkeys(words) if w not in index])
-            at = [index[w] for w in words]
+                missing = range(len(words))
+            self.learn(list(dict.fromkeys([words[i] for i in missing])))
+            for i in missing:
+                at[i] = self.index[words[i]]
         n = self.size[at]
         ends = np.cumsum(n)
-        place = np.repeat(self.begin[at] - (ends - n), n) + np.arange(ends[-1])
+        place = np.repeat(self.begin[at] - (ends - n), n)
+        place += np.arange(len(place))
         return self.flat[place].astype(np.uint32)
 
 
