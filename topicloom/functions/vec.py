@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it (also inside lambdas)."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def unit(v: Column) -> Column:
     """Of length one; a zero vector stays zero."""
-    n = norm(v)
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
+    scaled = lambda w: let(norm(w), lambda n: F.when(n == 0, w).otherwise(F.transform(w, lambda x: x / n)))
+    return let(v, scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:

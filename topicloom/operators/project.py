@@ -62,8 +62,8 @@ def doc_topics(docs: DataFrame, centroids: DataFrame, key: str = "doc_id") -> Da
     dots = F.transform("cs", lambda c: F.aggregate(F.zip_with("embedding", c["centroid"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
     met = docs.crossJoin(few).select(key, F.transform("cs", lambda c: c["topic_id"]).alias("ids"), dots.alias("s")).withColumn("top", F.array_max("s"))
     met = met.withColumn("e", F.transform("s", lambda v: F.exp(v - F.col("top"))))
-    total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
-    probs = met.select(key, F.explode(F.zip_with("ids", F.transform("e", lambda v: v / total), lambda i, p: F.struct(i.alias("topic_id"), p.alias("prob")))).alias("x"))
+    met = met.withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
+    probs = met.select(key, F.explode(F.zip_with("ids", F.transform("e", lambda v: v / F.col("total")), lambda i, p: F.struct(i.alias("topic_id"), p.alias("prob")))).alias("x"))
     return probs.select(key, "x.topic_id", "x.prob")
 
 
