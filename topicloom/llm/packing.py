@@ -28,6 +28,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Fill (as a part of the length) from which a bin is done, by level; the last holds from there on.
 FILLS = (0.98, 0.9, 0.75, 0.5)
 FAN_IN = 8
+WORDS = 400_000
 #: Marks that the tokenizer parts from the letters before them.
 MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 #: Letters that neither composition nor lower-casing turns into more than a letter.
@@ -41,7 +42,7 @@ class WordEncoder:
     Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, words: int = 800_000, ids: int = 4_000_000) -> None:
+    def __init__(self, path: str, words: int = WORDS, ids: int = 8_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -127,14 +128,14 @@ class WordEncoder:
         return self.flat[place].astype(np.uint32)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, words: int) -> WordEncoder:
     """One per Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, words) not in _encoders:
+        _encoders[path, words] = WordEncoder(path, words)
+    return _encoders[path, words]
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -181,13 +182,15 @@ def pack(
     fills: tuple[float, ...] = FILLS,
     buffer: int = 200_000,
     with_ids: bool = False,
+    words: int = WORDS,
 ) -> DataFrame:
     """One row per piece: ``<row_id>, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``).
 
     A document is its ids and ``end_id``; null or empty text is ``end_id`` alone. Only documents longer
     than ``length`` are cut, into pieces of that length, the last maybe shorter. Pieces of a sequence fill
     it from 0 without gaps. Repeated rows and null ids are packed like any; no rows in, no rows out; other
-    columns are ignored. ``tokenizer`` is the path of a tokenizer file on the executors.
+    columns are ignored. ``tokenizer`` is the path of a tokenizer file on the executors. A Python worker
+    remembers at most ``words`` words and parts of words, some 300 bytes each, and then starts anew.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -229,7 +232,7 @@ def pack(
             yield batch()
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, numbers, items = encoder(tokenizer).encode, iter(range(1 << 32)), []
+        encode, numbers, items = encoder(tokenizer, words).encode, iter(range(1 << 32)), []
         for b in batches:
             done = []
             for who, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -277,7 +280,7 @@ def pack(
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=1_200_000)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
