@@ -229,6 +229,13 @@ def test_pii_revealing_terms(spark):
         assert terms == {"zanzibar"}
 
 
+def test_pii_copies_do_not_hide_a_term(spark):
+    held = [f"{prose(30)} zanzibar owner@secret.org {prose(3)}" for _ in range(8)]
+    rows = list(enumerate(held + [held[0]] * 200 + [prose(60) for _ in range(300)]))
+    out = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), min_bits=30.0).collect()
+    assert {r["doc_id"] for r in out if "zanzibar" in [s["value"] for s in r["spans"] if s["kind"] == 4]} == set(range(208))
+
+
 def test_langid(spark, none):
     words = {"xa": ["bada", "gabu", "dabo", "bagu"], "yb": ["elixi", "ixele", "lexil", "eexil"]}
     rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(30)), lang, lang) for i in range(200) for lang in [["xa", "yb"][i % 2]]]

@@ -6,8 +6,9 @@ information PMI(t; c) = log2 p(t, c) / (p(t) p(c)), against all there is to reve
 A term that gives away at least ``disclosure`` of an entity's information, with evidence that chance does
 not produce, is marked in the documents that hold the entity and generalised with it.
 
-The joint counts take each text once, so copies of one document are no evidence; an entity or pair
-needs ``min_docs`` different texts. Only terms that pass on the joint side are counted over the corpus.
+All counts, of the pair, the entity, the term and the corpus, take each different text once, so copies of one
+document neither add evidence nor hide it; an entity or pair needs ``min_docs`` different texts. Only terms that
+pass on the joint side are counted over the corpus.
 """
 
 from __future__ import annotations
@@ -100,15 +101,15 @@ def entity(span: Column) -> Column:
 
 
 def revealing(found: DataFrame, docs: DataFrame, text: str, disclosure: float, min_docs: int, min_bits: float, broadcast_terms: int) -> DataFrame | None:
-    """Pairs (entity, term) that disclose too much, of ``found`` (rid, text, spans) and the whole corpus."""
-    some = found.filter(F.size("spans") > 0).withColumn("digest", F.xxhash64("text"))
+    """Pairs (entity, term) that disclose too much, of ``found`` (rid, digest, text, spans) and the whole corpus."""
+    some = found.filter(F.size("spans") > 0)
     once = some.groupBy("digest").agg(F.min("rid").alias("rid"))
     some = some.join(once.select("rid"), "rid", "left_semi")
     held = some.select("rid", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
     known = settle(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= min_docs), "pii-entities")
     if known.isEmpty():
         return None
-    n = docs.count()
+    n = found.select("digest").distinct().count()
     p = lambda c: F.col(c) / F.lit(float(n))
     words = some.select("rid", F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term"))
     least = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_least")).filter(F.col("n_least") >= min_docs)
@@ -122,9 +123,10 @@ def revealing(found: DataFrame, docs: DataFrame, text: str, disclosure: float, m
     n_terms = terms.count()
     if not n_terms:
         return None
-    every = docs.select(F.explode(terms_of(F.col(text), base_spans(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    every = docs.select(F.xxhash64(body).alias("digest"), F.explode(terms_of(body, base_spans(body))).alias("term"))
     met = every.join(F.broadcast(terms) if n_terms <= broadcast_terms else terms, "term", "left_semi")
-    df = met.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    df = met.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     scored = pairs.join(df, "term").withColumn("pmi", F.log2(p("n_tc") / (p("n_t") * p("n_c"))))
     return settle(scored.filter(F.col("pmi") >= disclosure * F.col("ic")).select("entity", "term", "pmi", "ic"), "pii-revealing")
 
@@ -148,7 +150,7 @@ def sanitise(
     Up to ``broadcast_terms`` terms are broadcast to be counted; more are joined by shuffle.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(row_id).alias("id"), body.alias("text"), base_spans(body).alias("spans"))
+    found = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(row_id).alias("id"), F.xxhash64(body).alias("digest"), body.alias("text"), base_spans(body).alias("spans"))
     found = found.withColumn("text", F.when(F.lit(rewrite) | (F.size("spans") > 0), F.col("text")))
     found = settle(found, "pii-found")
     bad = revealing(found, docs, text, disclosure, min_docs, min_bits, broadcast_terms)
