@@ -236,6 +236,13 @@ def test_pii_copies_do_not_hide_a_term(spark):
     assert {r["doc_id"] for r in out if "zanzibar" in [s["value"] for s in r["spans"] if s["kind"] == 4]} == set(range(208))
 
 
+def test_pii_rare_entities_are_judged_by_evidence(spark):
+    held = [f"{prose(30)} {t} {e}@secret.org {prose(3)}" for t, e, k in (("zanzibar", "two", 2), ("timbuktu", "three", 3), ("samarkand", "one", 1)) for _ in range(k)]
+    df = spark.createDataFrame(list(enumerate(held + [prose(60) for _ in range(500)])), "doc_id long, text string")
+    terms = lambda bits: {s["value"] for r in pii.sanitise(df, min_bits=bits).collect() for s in r["spans"] if s["kind"] == 4}
+    assert terms(15.0) == {"zanzibar", "timbuktu"} and terms(20.0) == {"timbuktu"}
+
+
 def test_langid(spark, none):
     words = {"xa": ["bada", "gabu", "dabo", "bagu"], "yb": ["elixi", "ixele", "lexil", "eexil"]}
     rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(30)), lang, lang) for i in range(200) for lang in [["xa", "yb"][i % 2]]]

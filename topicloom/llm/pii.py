@@ -106,19 +106,24 @@ def revealing(found: DataFrame, docs: DataFrame, text: str, disclosure: float, m
     once = some.groupBy("digest").agg(F.min("rid").alias("rid"))
     some = some.join(once.select("rid"), "rid", "left_semi")
     held = some.select("rid", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
-    known = settle(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= min_docs), "pii-entities")
-    if known.isEmpty():
-        return None
     n = found.select("digest").distinct().count()
     p = lambda c: F.col(c) / F.lit(float(n))
+    # A pair has no more evidence than its entity would have alone, and its term may be this common at most.
+    known = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= min_docs).withColumn("ic", -F.log2(p("n_c")))
+    known = known.withColumn("slack", F.pow(F.lit(2.0), F.col("ic") * (1 - disclosure)) * (1 + 1e-9))
+    known = settle(known.filter(F.col("n_c") * F.col("ic") >= min_bits), "pii-entities")
+    widest = known.agg(F.max(F.col("n_c") * F.col("slack"))).first()[0]
+    if widest is None:
+        return None
+    held = held.join(known, "entity").select("rid", "entity", "n_c", "ic", "slack")
     words = some.select("rid", F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term"))
-    least = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_least")).filter(F.col("n_least") >= min_docs)
-    held = held.join(known, "entity").select("rid", "entity")
-    pairs = held.join(words, "rid").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_tc")).filter(F.col("n_tc") >= min_docs)
-    pairs = pairs.join(known, "entity").withColumn("ic", -F.log2(p("n_c"))).filter(F.col("n_tc") * F.col("ic") >= min_bits)
+    least = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_least")).filter(F.col("n_least").between(min_docs, widest))
     # A term is too common for a pair already if it is so among the documents that hold entities.
-    pairs = pairs.withColumn("n_most", F.col("n_tc") * F.pow(F.lit(2.0), F.col("ic") * (1 - disclosure)))
-    pairs = settle(pairs.join(least, "term").filter(F.col("n_least") <= F.col("n_most") * (1 + 1e-9)).drop("n_least", "n_most"), "pii-pairs")
+    close = (F.col("n_least") <= F.col("n_c") * F.col("slack")) & (F.col("n_least") * F.col("ic") >= min_bits)
+    pairs = held.join(words.join(least, "term"), "rid").filter(close).groupBy("entity", "term")
+    pairs = pairs.agg(F.count(F.lit(1)).alias("n_tc"), *[F.first(c).alias(c) for c in ("n_c", "ic", "slack", "n_least")])
+    pairs = pairs.filter((F.col("n_tc") >= min_docs) & (F.col("n_tc") * F.col("ic") >= min_bits) & (F.col("n_least") <= F.col("n_tc") * F.col("slack")))
+    pairs = settle(pairs.select("entity", "term", "n_tc", "n_c", "ic"), "pii-pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
@@ -136,7 +141,7 @@ def sanitise(
     text: str = "text",
     row_id: str = "doc_id",
     disclosure: float = 0.9,
-    min_docs: int = 5,
+    min_docs: int = 2,
     min_bits: float = 40.0,
     broadcast_terms: int = 100_000,
     rewrite: bool = False,
