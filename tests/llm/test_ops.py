@@ -6,7 +6,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from topicloom.llm import ann, chat_format, exact_dedup, langid, mixing, near_dup, packing, pii, substring, warc
@@ -145,9 +147,27 @@ def test_substring(spark, docs, none):
         want.append((i if i is not None else -1, len(ws), len(gone), b" ".join(w for k, w in enumerate(ws) if k not in gone).decode()))
     got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept"]) for r in substring.substring_dedup(docs).collect()]
     assert sorted(got) == sorted(want)
+    got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept"]) for r in substring.substring_dedup(docs, crowd=20).collect()]
+    assert sorted(got) == sorted(want)
     assert substring.substring_dedup(none).count() == 0
 
 
+def test_substring_splits_frequent_prefixes(spark):
+    line = " ".join(f"common{i}" for i in range(7))
+    texts = [f"{prose(9)} extraordinarily {prose(12)} {line} {prose(9)}" for _ in range(400)]
+    df = spark.createDataFrame([(i, zlib.crc32(t.encode()), t) for i, t in enumerate(texts)], "id long, hash long, text string").coalesce(1)
+    batch = pa.Table.from_batches(df._collect_as_arrow()).combine_chunks().to_batches()
+
+    def largest(crowd):
+        crowded, size = substring.crowded_slots(df, 13, 12, crowd), {}
+        for table in substring.shipped(13, 12, 997, crowded)(iter(batch)):
+            for bucket, ends in zip(table.column(0).to_pylist(), table.column(4).to_pylist(), strict=True):
+                size[bucket] = size.get(bucket, 0) + int((np.frombuffer(zstandard.decompress(ends), np.int64) - 12).sum())
+        return max(size.values())
+
+    assert largest(10**9) > 1000 and largest(50) < 200
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_dup(docs, none, k):
     def shingles(t):

@@ -2,9 +2,10 @@
 
 All suffixes of all documents (by words) form one suffix tree; a node at least ``window`` words deep with
 leaves in several documents is a repeat, and each such node keeps the document with the smallest id. The
-tree is never whole anywhere: suffixes are split into groups by a prefix of variable length (as many words
-as it takes to make ``chars`` bytes, three at most), each group's subtree is built by one task, and only
-down to the depth that decides.
+tree is never whole anywhere: suffixes are split into groups by a prefix of variable length, each group's
+subtree is built by one task, and only down to the depth that decides. A prefix has as many words as it takes
+to make ``chars`` bytes, three at most; windows are counted by prefix first, and where more than ``crowd``
+share one, it is lengthened to half a window, and where that is shared by as many, to the whole window.
 
 Shipping every suffix on its own would cost ``window`` words per position. So the prefix of a window is
 read not at its first word but at its pivot, the prefix of least hash in the window: consecutive windows
@@ -34,6 +35,12 @@ from .shingles import G, mix, words_of
 BATCH_WORDS = 1_000_000
 #: Bytes of stored input for each prefix group: what one task holds at once.
 GROUP_BYTES = 4 << 20
+#: Windows that may share a prefix (a sixth of a usual group); beyond that it is lengthened.
+CROWD = 100_000
+#: Counters for each length of prefix; prefixes that share one are counted, and lengthened, together.
+SLOTS = 1 << 18
+#: Rows in which a task sends its counters.
+PARTS = 64
 
 
 class Ids(dict):
@@ -67,24 +74,40 @@ def word_hash(ids: Ids, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
+def least(g: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each run of ``width`` values."""
+    step = 1
+    while 2 * step <= width:
+        g, step = np.minimum(g[:-step], g[step:]), 2 * step
+    rest = width - step
+    return np.minimum(g[: len(g) - rest], g[rest:]) if rest else g
+
+
 def pivots(h: np.ndarray, sizes: np.ndarray, window: int, chars: int) -> np.ndarray:
     """For each run of ``window`` words, the least hash of a prefix that lies in it."""
     if window < 4:
         return fingerprints(h, window)
     two, three = join(h[:-2], h[1:-1]), join(join(h[:-2], h[1:-1]), h[2:])
     g = np.where(sizes[:-2] >= chars, h[:-2], np.where(sizes[:-2] + sizes[1:-1] >= chars, two, three))
-    width = window - 2
-    step = 1
-    while 2 * step <= width:
-        g, step = np.minimum(g[:-step], g[step:]), 2 * step
-    rest = width - step
-    return np.minimum(g[: len(g) - rest], g[rest:]) if rest else g
+    return least(g, window - 2)
+
+
+def long_pivots(h: np.ndarray, window: int) -> np.ndarray:
+    """The same for prefixes of half a window."""
+    words = window // 2 if window >= 4 else window
+    return least(fingerprints(h, words), window - words + 1)
+
+
+def slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys >> np.uint64(20)) % np.uint64(SLOTS)).astype(np.int64)
 
 
 def repeats(prints: np.ndarray, ids: np.ndarray, at: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
     """Which windows (fingerprint, first word's place ``at``, document) also start in a smaller document."""
     marked = np.zeros(len(prints), bool)
-    todo = np.arange(len(prints))
+    order = np.argsort(prints)
+    twin = prints[order][1:] == prints[order][:-1]
+    todo = order[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])] if len(order) else order
     while len(todo):
         order = todo[np.lexsort((docs[todo], prints[todo]))]
         new = np.concatenate([[True], prints[order][1:] != prints[order][:-1]])
@@ -113,26 +136,85 @@ SHIPPED = "bucket int, ids binary, hashes binary, starts binary, ends binary, bl
 NAMES = ["bucket", "ids", "hashes", "starts", "ends", "blob"]
 
 
-def shipped(window: int, chars: int, buckets: int):
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """Documents (id, hash, words) in lists of about ``BATCH_WORDS`` words."""
+    docs, total = [], 0
+    for b in batches:
+        for who, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            ws = words_of(text.as_py())
+            docs.append((who, text_hash, ws))
+            total += len(ws)
+            if total >= BATCH_WORDS:
+                yield docs
+                docs, total = [], 0
+    yield docs
+
+
+def numbered(docs: list[tuple[int, int, list[bytes]]], words: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+    """Of each word its number, hash, bytes and document; where documents begin, and windows."""
+    number = Ids()
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    known = list(number)
+    h = word_hash(number, known)[ids]
+    sizes = np.fromiter(map(len, known), np.int64, len(known))[ids]
+    count = np.array([len(ws) for _, _, ws in docs])
+    owner = np.repeat(np.arange(len(docs)), count)
+    at = np.flatnonzero(owner[: len(words) - window + 1] == owner[window - 1 :])
+    return ids, h, sizes, owner, np.cumsum(count) - count, at
+
+
+def counted(window: int, chars: int):
+    """Documents (id, hash, text) -> windows per slot of both lengths of prefix, in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, SLOTS), np.int64)
+        for docs in gathered(batches):
+            words = [w for _, _, ws in docs for w in ws]
+            if len(words) < window:
+                continue
+            _, h, sizes, _, _, at = numbered(docs, words, window)
+            for k, keys in enumerate((pivots(h, sizes, window, chars), long_pivots(h, window))):
+                total[k] += np.bincount(slots(keys[at]), minlength=SLOTS)
+        if total.any():
+            blobs = [zstandard.compress(x.tobytes(), 1) for x in total.reshape(PARTS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "counts"])
+
+    return run
+
+
+def over(crowd: int):
+    """All counters of a part -> which of its slots are crowded."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = 0, None
+        for table in rows:
+            for p, blob in zip(table.column(0), table.column(1), strict=True):
+                part, total = p.as_py(), total + np.frombuffer(zstandard.decompress(blob.as_py()), np.int64)
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(total > crowd).tobytes()], pa.binary())], names=["part", "crowded"])
+
+    return run
+
+
+def crowded_slots(docs: DataFrame, window: int, chars: int, crowd: int) -> np.ndarray:
+    """Per length of prefix and slot, whether more than ``crowd`` windows share it."""
+    counts = docs.mapInArrow(counted(window, chars), "part int, counts binary")
+    out = np.zeros((PARTS, 2 * SLOTS // PARTS), bool)
+    for r in counts.groupBy("part").applyInArrow(over(crowd), "part int, crowded binary").collect():
+        out[r["part"]] = np.frombuffer(r["crowded"], bool)
+    return out.reshape(2, SLOTS)
+
+
+def shipped(window: int, chars: int, buckets: int, crowded: np.ndarray):
     """Documents (id, hash, text) -> marked spans, and per bucket the stretches that have to meet others."""
     def row(bucket: int, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, blob: bytes) -> list:
         return [bucket, *(zstandard.compress(x.astype(np.int64).tobytes(), 3) for x in (ids, hashes, starts, ends)), zstandard.compress(blob, 3)]
 
-    def batch(docs: list[tuple[int, int, list[bytes]]], turn: int) -> Iterator[list]:
+    def batch(docs: list[tuple[int, int, list[bytes]]]) -> Iterator[list]:
         words = [w for _, _, ws in docs for w in ws]
-        if not words:
-            return
-        number = Ids()
-        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        known = list(number)
-        h = word_hash(number, known)[ids]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))[ids]
-        count = np.array([len(ws) for _, _, ws in docs])
-        owner = np.repeat(np.arange(len(docs)), count)
         if len(words) < window:
             return
-        begin = np.cumsum(count) - count
-        at = np.flatnonzero(owner[: len(words) - window + 1] == owner[window - 1 :])
+        ids, h, sizes, owner, begin, at = numbered(docs, words, window)
         who, text = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int64)
         doc = who[owner[at]]
         place = at - begin[owner[at]]
@@ -140,12 +222,18 @@ def shipped(window: int, chars: int, buckets: int):
         marked = repeats(prints, ids, at, doc, window)
         o, s, e = spans(marked, at, place, owner[at], window)
         if len(o):
-            yield row(turn % buckets, who[o], text[o], s, e, b"")
+            at_random = mix((who[o[:1]] ^ text[o[:1]]).astype(np.uint64)) % np.uint64(buckets)
+            yield row(int(at_random[0]), who[o], text[o], s, e, b"")
         key = pivots(h, sizes, window, chars)[at]
         go = np.flatnonzero(~marked)
         if not len(go):
             return
         a, k = at[go], key[go]
+        if crowded.any():
+            todo = np.flatnonzero(crowded[0][slots(k)])
+            k[todo] = long_pivots(h, window)[a[todo]]
+            todo = todo[crowded[1][slots(k[todo])]]
+            k[todo] = prints[go[todo]]
         cut = np.flatnonzero((np.diff(a) != 1) | (k[1:] != k[:-1]) | (np.diff(owner[a]) != 0)) + 1
         first = np.concatenate([[0], cut])
         last = np.concatenate([cut - 1, [len(go) - 1]])
@@ -161,8 +249,6 @@ def shipped(window: int, chars: int, buckets: int):
             yield row(int(bucket[lo]), who[own], text[own], f - begin[own], t - f, blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, total, turn = [], 0, 0
-
         def out(rows: Iterator[list]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
             types = [pa.int32()] + [pa.binary()] * 5
@@ -176,15 +262,8 @@ def shipped(window: int, chars: int, buckets: int):
             if held:
                 yield pack()
 
-        for b in batches:
-            for who, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ws = words_of(text.as_py())
-                docs.append((who, text_hash, ws))
-                total += len(ws)
-                if total >= BATCH_WORDS:
-                    yield from out(batch(docs, turn))
-                    docs, total, turn = [], 0, turn + 1
-        yield from out(batch(docs, turn))
+        for docs in gathered(batches):
+            yield from out(batch(docs))
 
     return run
 
@@ -250,16 +329,17 @@ def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(docs: DataFrame, window: int, chars: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int, chars: int, crowd: int) -> DataFrame:
     """Spans of words to remove, of documents (id, hash, text)."""
     spark = docs.sparkSession
     stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-stored // GROUP_BYTES), 100_000))
-    sent = docs.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(shipped(window, chars, buckets), SHIPPED)
+    docs = docs.filter("id IS NOT NULL AND text IS NOT NULL")
+    sent = docs.mapInArrow(shipped(window, chars, buckets, crowded_slots(docs, window, chars, crowd)), SHIPPED)
     return sent.groupBy("bucket").applyInArrow(met(window), FOUND)
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, row_id: str = "doc_id", text: str = "text", chars: int = 12) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, row_id: str = "doc_id", text: str = "text", chars: int = 12, crowd: int = CROWD) -> DataFrame:
     """One row per row: ``<row_id>, n_words, n_removed, kept`` (the words that stay, joined by one space).
 
     Words are maximal runs without ASCII white space, unchanged. A word goes if a run of ``window`` words
@@ -269,7 +349,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, row_id: str = "doc_id", t
     nothing. No rows in, no rows out; other columns are ignored.
     """
     source = docs.select(F.col(row_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
-    found = settle(repeated_spans(source, window, chars), "substring-spans")
+    found = settle(repeated_spans(source, window, chars, crowd), "substring-spans")
     docs.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of the step above
     per = found.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     per = per.select(F.col("id").alias("i"), F.col("hash").alias("h"), "spans")
