@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from topicloom.operators import anchors, metrics, mixture, model, project, sample
+from topicloom.operators import anchors, baselines, metrics, mixture, model, project, sample
+from topicloom.plans import topic_queries
 from topicloom.sources import text as sources
 from topicloom.streaming.score import score_stream
 
@@ -64,6 +65,43 @@ def test_samples(spark):
     assert {r["n"] for r in sample.stratified_split(rows).filter("split = 'test'").groupBy("label").agg(F.count("*").alias("n")).collect()} == {2}
 
 
+def test_lda_keeps_all_words(spark):
+    rng = np.random.default_rng(1)
+    tokens = [[f"{'ab'[i % 2]}{w}" for w in rng.integers(0, 3000, 400)] for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(tokens)), "doc_id long, tokens array<string>")
+    got = baselines.lda_topics(docs, k=2, n_words=10_000, max_iter=20).collect()
+    for t in (0, 1):
+        mine = [(r["rank"], r["word"], r["weight"]) for r in got if r["topic_id"] == t]
+        assert {w for _, w, _ in mine} == {w for ws in tokens for w in ws} and len(mine) > 5000  # the old bound
+        assert sum(x for _, _, x in mine) == pytest.approx(1) and [n for n, _, _ in sorted(mine)] == list(range(1, len(mine) + 1))
+
+
+def test_nmf_converges_either_way(spark):
+    rng = np.random.default_rng(2)
+    x = (rng.random((12, 3)) * (rng.random((12, 3)) < 0.5)) @ (rng.random((3, 9)) * (rng.random((3, 9)) < 0.5))
+    cells = [(i, f"p{j}", float(x[i, j])) for i in range(12) for j in range(9) if x[i, j] > 0]
+    weights = spark.createDataFrame(cells, "doc_id long, phrase string, weight double")
+
+    def product(**how):
+        w, h = baselines.nmf(weights, k=3, **how)
+        a, b = {r["doc_id"]: r["w"] for r in w.collect()}, {r["phrase"]: r["h"] for r in h.collect()}
+        return np.array([[np.dot(a[i], b[f"p{j}"]) if i in a and f"p{j}" in b else 0.0 for j in range(9)] for i in range(12)])
+
+    assert np.allclose(product(max_iter=4), product(max_iter=4, few=0), atol=1e-9)
+    assert np.linalg.norm(product() - x) < 0.05 * np.linalg.norm(x)
+
+
+def test_registered_baselines_run_in_full(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(baselines, "lda_topics", lambda docs, **how: seen.update(lda=how) or spark.createDataFrame([], "weight double"))
+    monkeypatch.setattr(baselines, "tfidf_features", lambda docs, **how: seen.update(tfidf=how))
+    monkeypatch.setattr(baselines, "nmf", lambda weights, **how: seen.update(nmf=how) or (None, None))
+    monkeypatch.setattr(baselines, "component_words", lambda h: spark.createDataFrame([], "weight double"))
+    for query in (topic_queries.lda_topics, topic_queries.nmf_topics):
+        query(spark, "/root/testdata/sf0.001")
+    assert seen == {"lda": {}, "tfidf": {}, "nmf": {}}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "b.txt").write_text("second\nline")
     (tmp_path / "a.txt").write_text("first")

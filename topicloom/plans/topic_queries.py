@@ -227,12 +227,12 @@ def svm_baseline(s, d):  # noqa: ANN001, ANN201
 
 def lda_topics(s, d):  # noqa: ANN001, ANN201
     docs = sample.preprocess(s.read.parquet(f"{d}/documents.parquet"))
-    return _r(baselines.lda_topics(docs, max_iter=10), "weight")
+    return _r(baselines.lda_topics(docs), "weight")
 
 
 def nmf_topics(s, d):  # noqa: ANN001, ANN201
     docs = sample.three_way_split(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
-    _, h = baselines.nmf(baselines.tfidf_features(docs, min_df=10), max_iter=3)
+    _, h = baselines.nmf(baselines.tfidf_features(docs))
     return _r(baselines.component_words(h), "weight")
 
 
