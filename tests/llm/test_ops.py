@@ -1,6 +1,7 @@
 """Each operator against brute force, with nulls, blanks, long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -296,6 +297,16 @@ def test_nearest(spark):
     assert ann.nearest(df.filter("vec_id < 3"), "true").count() == 6
 
 
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    x = np.array([[float(i in c) for i in range(10)] for c in itertools.combinations(range(10), 3)])
+    x = x[np.random.default_rng(4).permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, "vec_id < 20", k=5, width=100.0, probes=400).collect()
+    for q in range(20):
+        want = [i for i in np.lexsort((np.arange(len(x)), -(x @ x[q]))) if i != q][:5]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
