@@ -1,54 +1,91 @@
-"""Substring dedup over prefix groups of a corpus-wide word suffix tree.
-
-All suffixes of all documents (by words) form one suffix tree; a node at least ``window`` words deep with
-leaves in several documents is a repeat, and each such node keeps the document with the smallest id. The
-tree is never whole anywhere: suffixes are split into groups by a prefix of variable length, each group's
-subtree is built by one task, and only down to the depth that decides. A prefix has as many words as it takes
-to make ``chars`` bytes, three at most; windows are counted by prefix first, and where more than ``crowd``
-share one, it is lengthened to half a window, and where that is shared by as many, to the whole window.
-
-Shipping every suffix on its own would cost ``window`` words per position. So the prefix of a window is
-read not at its first word but at its pivot, the prefix of least hash in the window: consecutive windows
-mostly have the same pivot and travel as one stretch, and equal windows have equal pivots, so they meet in
-one group. A subtree's nodes of depth ``window`` are found by sorting fingerprints of the suffixes cut to
-that depth, and then checked word by word.
-
-Before anything is shipped, each batch of documents settles its own repeats: a window that starts in an
-earlier document of the batch is marked at once, and only its first document goes on. A passage in a third
-of all documents so reaches its group once per batch. Stretches travel in compressed blobs.
+"""Substring dedup by a corpus-wide word suffix tree that is split by prefix and never whole anywhere.
+
+All suffixes of all documents, by words, form one suffix tree; an internal node at least ``window`` words deep
+with leaves in several documents is a repeat, and of its leaves those of the smallest document stay.
+
+1. Prefixes are counted. The prefix of a suffix is read at its pivot, the half-window of least hash within its
+   first ``window`` words: equal windows have equal pivots, and neighbours mostly share one, so that they travel
+   as one stretch. A prefix that a single document has lies over leaves only and goes no further.
+2. Prefixes have variable length: one that more than ``crowd`` suffixes share is lengthened to the whole
+   window. Groups of prefixes are sized by the counts, so that a task holds about ``GROUP`` suffixes; a window
+   that stands in very many files is met part by part, and what stays in a part goes on to the next level.
+3. Each group's subtree is built by sorting its suffixes: ranks by one word, then by prefixes of growing length
+   made of ranks, exactly, down to the depth that decides. Suffixes of one rank hang below one internal node.
+   Each batch of documents settles its own subtree before anything is shipped, so a passage that stands in a
+   third of all documents reaches its group once per batch.
+
+Consecutive suffixes below such nodes make a maximal repeat: a span of words to remove. Documents are written
+to the shared folder once; every pass reads those files where they lie, so texts are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
-from .shingles import G, mix, words_of
+from .common import give_back, settle
+from .shingles import G, mix
 
-#: Words of a batch that settles its own repeats.
-BATCH_WORDS = 1_000_000
-#: Bytes of stored input for each prefix group: what one task holds at once.
-GROUP_BYTES = 4 << 20
-#: Windows that may share a prefix (a sixth of a usual group); beyond that it is lengthened.
+#: Bytes of text in a batch that settles its own repeats.
+BATCH_BYTES = 6 << 20
+#: Bytes of stored text whose prefixes one task counts.
+COUNT_BYTES = 32 << 20
+#: Suffixes that a group holds, about.
+GROUP = 300_000
+#: Suffixes that may share a prefix; beyond that it is lengthened.
 CROWD = 100_000
-#: Counters for each length of prefix; prefixes that share one are counted, and lengthened, together.
-SLOTS = 1 << 18
-#: Rows in which a task sends its counters.
-PARTS = 64
+#: Files whose copies of a very common window meet at once.
+SALT_FILES = 20_000
+#: Bytes hashed at once.
+CHUNK = 1 << 16
 
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.where(_SPACE, np.uint64(0), mix(np.arange(1, 257, dtype=np.uint64) * G))
 
-class Ids(dict):
-    """Word -> number, in order of appearance; exact."""
 
-    def __missing__(self, word: bytes) -> int:
-        got = self[word] = len(self)
-        return got
+def _powers(base: int) -> np.ndarray:
+    out = np.full(CHUNK, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _long_word(raw: np.ndarray) -> int:
+    parts = ((at, raw[at : at + CHUNK]) for at in range(0, len(raw), CHUNK))
+    return sum(int((_BYTE[x] * _POWER[: len(x)]).sum()) * pow(_BASE, at, 1 << 64) for at, x in parts) % (1 << 64)
+
+
+def hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of each word of a text (bytes), and where it starts and ends."""
+    zero = np.int8(0)
+    edge = np.flatnonzero(np.diff((~_SPACE[raw]).view(np.int8), prepend=zero, append=zero))
+    start, end = edge[::2], edge[1::2]
+    h = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(end, start[i] + CHUNK, side="right"))
+        if j <= i:
+            h[i] = _long_word(raw[start[i] : end[i]])
+            i += 1
+            continue
+        s = start[i:j] - start[i]
+        value = _BYTE[raw[start[i] : end[j - 1]]]
+        value *= _POWER[: len(value)]
+        h[i:j] = np.add.reduceat(value, s) * _INVERSE[s]
+        i = j
+    return mix(h + (end - start).astype(np.uint64) * G), start, end
 
 
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,12 +105,6 @@ def fingerprints(h: np.ndarray, window: int) -> np.ndarray:
         power, size = join(power[:-size], power[size:]), 2 * size
 
 
-def word_hash(ids: Ids, words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-
-
 def least(g: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each run of ``width`` values."""
     step = 1
@@ -83,278 +114,415 @@ def least(g: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(g[: len(g) - rest], g[rest:]) if rest else g
 
 
-def pivots(h: np.ndarray, sizes: np.ndarray, window: int, chars: int) -> np.ndarray:
-    """For each run of ``window`` words, the least hash of a prefix that lies in it."""
-    if window < 4:
-        return fingerprints(h, window)
-    two, three = join(h[:-2], h[1:-1]), join(join(h[:-2], h[1:-1]), h[2:])
-    g = np.where(sizes[:-2] >= chars, h[:-2], np.where(sizes[:-2] + sizes[1:-1] >= chars, two, three))
-    return least(g, window - 2)
-
-
-def long_pivots(h: np.ndarray, window: int) -> np.ndarray:
-    """The same for prefixes of half a window."""
-    words = window // 2 if window >= 4 else window
-    return least(fingerprints(h, words), window - words + 1)
-
-
-def slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(SLOTS)).astype(np.int64)
-
-
-def repeats(prints: np.ndarray, ids: np.ndarray, at: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
-    """Which windows (fingerprint, first word's place ``at``, document) also start in a smaller document."""
-    marked = np.zeros(len(prints), bool)
-    order = np.argsort(prints)
-    twin = prints[order][1:] == prints[order][:-1]
-    todo = order[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])] if len(order) else order
-    while len(todo):
-        order = todo[np.lexsort((docs[todo], prints[todo]))]
-        new = np.concatenate([[True], prints[order][1:] != prints[order][:-1]])
-        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        later = docs[order] > docs[first]
-        a, b = order[later], first[later]
-        same = np.ones(len(a), bool)
-        for k in range(window):
-            same &= ids[at[a] + k] == ids[at[b] + k]
-        marked[a[same]] = True
-        todo = a[~same]  # one fingerprint, other words: they look for their own first
-    return marked
-
-
-def spans(marked: np.ndarray, at: np.ndarray, place: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of words that consecutive marked windows cover: owner, start, end in the document."""
-    m = np.flatnonzero(marked)
-    if not len(m):
-        return (np.zeros(0, np.int64),) * 3
-    cut = np.flatnonzero((np.diff(at[m]) != 1) | (np.diff(owner[m]) != 0)) + 1
-    first, last = m[np.concatenate([[0], cut])], m[np.concatenate([cut - 1, [len(m) - 1]])]
-    return owner[first], place[first], place[last] + window
-
-
-SHIPPED = "bucket int, ids binary, hashes binary, starts binary, ends binary, blob binary"
-NAMES = ["bucket", "ids", "hashes", "starts", "ends", "blob"]
-
-
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, list[bytes]]]]:
-    """Documents (id, hash, words) in lists of about ``BATCH_WORDS`` words."""
-    docs, total = [], 0
-    for b in batches:
-        for who, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            ws = words_of(text.as_py())
-            docs.append((who, text_hash, ws))
-            total += len(ws)
-            if total >= BATCH_WORDS:
-                yield docs
-                docs, total = [], 0
-    yield docs
-
-
-def numbered(docs: list[tuple[int, int, list[bytes]]], words: list[bytes], window: int) -> tuple[np.ndarray, ...]:
-    """Of each word its number, hash, bytes and document; where documents begin, and windows."""
-    number = Ids()
-    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    known = list(number)
-    h = word_hash(number, known)[ids]
-    sizes = np.fromiter(map(len, known), np.int64, len(known))[ids]
-    count = np.array([len(ws) for _, _, ws in docs])
-    owner = np.repeat(np.arange(len(docs)), count)
-    at = np.flatnonzero(owner[: len(words) - window + 1] == owner[window - 1 :])
-    return ids, h, sizes, owner, np.cumsum(count) - count, at
-
-
-def counted(window: int, chars: int):
-    """Documents (id, hash, text) -> windows per slot of both lengths of prefix, in parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SLOTS), np.int64)
-        for docs in gathered(batches):
-            words = [w for _, _, ws in docs for w in ws]
-            if len(words) < window:
-                continue
-            _, h, sizes, _, _, at = numbered(docs, words, window)
-            for k, keys in enumerate((pivots(h, sizes, window, chars), long_pivots(h, window))):
-                total[k] += np.bincount(slots(keys[at]), minlength=SLOTS)
-        if total.any():
-            blobs = [zstandard.compress(x.tobytes(), 1) for x in total.reshape(PARTS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "counts"])
+def pivots(h: np.ndarray, window: int) -> np.ndarray:
+    """For each run of ``window`` words, the least hash (48 bits) of half a window that lies in it."""
+    words = max(1, window // 2) if window >= 4 else window
+    return least(fingerprints(h, words), window - words + 1) >> np.uint64(16)
 
-    return run
 
+class Ids(dict):
+    """Word -> number, in order of appearance; exact."""
 
-def over(crowd: int):
-    """All counters of a part -> which of its slots are crowded."""
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = len(self)
+        return got
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, part = 0, None
-        for table in rows:
-            for p, blob in zip(table.column(0), table.column(1), strict=True):
-                part, total = p.as_py(), total + np.frombuffer(zstandard.decompress(blob.as_py()), np.int64)
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(total > crowd).tobytes()], pa.binary())], names=["part", "crowded"])
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    return run
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rank of each key among the distinct ones, and how many there are."""
+    order = np.argsort(keys)
+    new = np.concatenate([[0], keys[order][1:] != keys[order][:-1]])
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(new)
+    return out, int(new.sum()) + 1
 
-def crowded_slots(docs: DataFrame, window: int, chars: int, crowd: int) -> np.ndarray:
-    """Per length of prefix and slot, whether more than ``crowd`` windows share it."""
-    counts = docs.mapInArrow(counted(window, chars), "part int, counts binary")
-    out = np.zeros((PARTS, 2 * SLOTS // PARTS), bool)
-    for r in counts.groupBy("part").applyInArrow(over(crowd), "part int, crowded binary").collect():
-        out[r["part"]] = np.frombuffer(r["crowded"], bool)
-    return out.reshape(2, SLOTS)
 
+def nodes(ids: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The node ``window`` words deep above the suffix at each place ``at``, numbered in the tree's order.
 
-def shipped(window: int, chars: int, buckets: int, crowded: np.ndarray):
-    """Documents (id, hash, text) -> marked spans, and per bucket the stretches that have to meet others."""
-    def row(bucket: int, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, blob: bytes) -> list:
-        return [bucket, *(zstandard.compress(x.astype(np.int64).tobytes(), 3) for x in (ids, hashes, starts, ends)), zstandard.compress(blob, 3)]
+    Suffixes are sorted by prefixes of 1, 3, 9, ... words (2, 4, ... of a very large group): the rank of a longer
+    prefix is that of its parts' ranks in turn, so equal ranks are equal words.
+    """
+    rank, size, depth = ids, int(ids.max()) + 1, 1
+    if window == 1:
+        return rank[at]
+    while depth < window:
+        parts = 3 if size**3 < 1 << 62 and 2 * depth < window else 2
+        goal = min(parts * depth, window)
+        place = at if goal == window else np.arange(len(ids) - goal + 1)
+        key = rank[place]
+        for shift in ((goal - depth) // 2, goal - depth)[3 - parts :]:
+            key = key * size + rank[place + shift]
+        (rank, size), depth = ranked(key), goal
+    return rank
+
+
+def repeats(ids: np.ndarray, at: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
+    """Which suffixes hang below a node, ``window`` words deep, with a leaf in a smaller document."""
+    node = nodes(ids, at, window)
+    order = np.argsort(node)
+    new = np.flatnonzero(np.concatenate([[True], node[order][1:] != node[order][:-1]]))
+    first = np.repeat(np.minimum.reduceat(docs[order], new), np.diff(new, append=len(order)))
+    out = np.empty(len(at), bool)
+    out[order] = docs[order] > first
+    return out
+
+
+def stretches(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the runs of consecutive places ``at`` on which all of ``same`` agree."""
+    cut = np.diff(at) != 1
+    for x in same:
+        cut |= x[1:] != x[:-1]
+    cut = np.flatnonzero(cut) + 1
+    return np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(at) - 1]])
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of all of them, compressed."""
+    x = np.ascontiguousarray(x, np.int64)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def opened(blob: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).ravel()
+
+
+def batches_of(path: str) -> Iterator[tuple[int, list[int | None], list[bytes]]]:
+    """A file's documents in batches: number of the first row, ids, texts (null: empty)."""
+    store, base = fs.FileSystem.from_uri(path)
+    with store.open_input_file(base) as source:
+        row, ids, texts, size = 0, [], [], 0
+        for b in pq.ParquetFile(source).iter_batches(512, columns=["id", "text"], use_threads=False):
+            for who, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(who)
+                texts.append(text or b"")
+                size += len(texts[-1])
+                if size >= BATCH_BYTES:
+                    yield row, ids, texts
+                    row, ids, texts, size = row + len(ids), [], [], 0
+        yield row, ids, texts
+
+
+class Windows:
+    """The windows of a batch of documents and their prefixes."""
+
+    def __init__(self, ids: list[int | None], texts: list[bytes], window: int) -> None:
+        texts = [b"" if i is None else t for i, t in zip(ids, texts, strict=True)]
+        self.raw = b"\n".join(texts)
+        self.h, self.start, self.end = hashed_words(np.frombuffer(self.raw, np.uint8))
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        self.owner = np.searchsorted(begin, self.start, side="right") - 1
+        n = len(self.h) - window + 1
+        self.at = np.flatnonzero(self.owner[:n] == self.owner[window - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        if len(self.at):
+            self.key = pivots(self.h, window)[self.at].astype(np.int64)
+            self.first, last = stretches(self.at, self.key, self.owner[self.at])
+            self.count = last - self.first + 1
+            key = self.key[self.first]
+            self.order = np.argsort(key, kind="stable")
+            self.new = np.concatenate([[True], np.diff(key[self.order]) != 0])
+
+    def prefixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct prefixes, sorted; twice the windows of each, and one more if several documents have it."""
+        new = np.flatnonzero(self.new)
+        docs = self.owner[self.at[self.first]][self.order]
+        several = np.maximum.reduceat(docs, new) > np.minimum.reduceat(docs, new)
+        return self.key[self.first][self.order][new], 2 * np.add.reduceat(self.count[self.order], new) + several
+
+    def spread(self, states: np.ndarray) -> np.ndarray:
+        """What is known of the distinct prefixes, for each window."""
+        out = np.empty(len(self.order), states.dtype)
+        out[self.order] = states[np.cumsum(self.new) - 1]
+        return np.repeat(out, self.count)
+
+    def words(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """The text from each first word to each last one."""
+        return [self.raw[a:b] for a, b in zip(self.start[first].tolist(), self.end[last].tolist(), strict=True)]
+
+
+COUNTED = "bucket int, file int, path string, batch int, keys binary, counts binary"
+STATES = "file int, path string, batch int, bucket int, states binary, fits long, crowded long"
+#: Stretches to meet others in a bucket; spans to remove have no text (blob), and no bucket once they are final.
+ROWS = "bucket int, salt int, file int, rows binary, ids binary, starts binary, ends binary, blob binary"
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
+
+
+def dealt(rows: Iterator[tuple], schema: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ``most`` bytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += 200 + sum(len(x) for x in r if isinstance(x, bytes))
+        if size > most:
+            yield batch_of(held, schema)
+            held, size = [], 0
+    if held:
+        yield batch_of(held, schema)
 
-    def batch(docs: list[tuple[int, int, list[bytes]]]) -> Iterator[list]:
-        words = [w for _, _, ws in docs for w in ws]
-        if len(words) < window:
-            return
-        ids, h, sizes, owner, begin, at = numbered(docs, words, window)
-        who, text = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int64)
-        doc = who[owner[at]]
-        place = at - begin[owner[at]]
-        prints = fingerprints(h, window)[at]
-        marked = repeats(prints, ids, at, doc, window)
-        o, s, e = spans(marked, at, place, owner[at], window)
-        if len(o):
-            at_random = mix((who[o[:1]] ^ text[o[:1]]).astype(np.uint64)) % np.uint64(buckets)
-            yield row(int(at_random[0]), who[o], text[o], s, e, b"")
-        key = pivots(h, sizes, window, chars)[at]
-        go = np.flatnonzero(~marked)
-        if not len(go):
-            return
-        a, k = at[go], key[go]
-        if crowded.any():
-            todo = np.flatnonzero(crowded[0][slots(k)])
-            k[todo] = long_pivots(h, window)[a[todo]]
-            todo = todo[crowded[1][slots(k[todo])]]
-            k[todo] = prints[go[todo]]
-        cut = np.flatnonzero((np.diff(a) != 1) | (k[1:] != k[:-1]) | (np.diff(owner[a]) != 0)) + 1
-        first = np.concatenate([[0], cut])
-        last = np.concatenate([cut - 1, [len(go) - 1]])
-        key = k[first]
-        bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((key, bucket))
-        first, last, bucket = a[first][order], a[last][order] + window, bucket[order]
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            f, t = first[lo:hi], last[lo:hi]
-            blob = b"\n".join([b" ".join(words[x:y]) for x, y in zip(f.tolist(), t.tolist(), strict=True)])
-            own = owner[f]
-            yield row(int(bucket[lo]), who[own], text[own], f - begin[own], t - f, blob)
 
+def batched(rows, schema: str):  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: Iterator[list]) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
-            types = [pa.int32()] + [pa.binary()] * 5
-            pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=NAMES)
-            for r in rows:
-                held.append(r)
-                size += len(r[5])
-                if size > 4 << 20:
-                    yield pack()
-                    held, size = [], 0
-            if held:
-                yield pack()
-
-        for docs in gathered(batches):
-            yield from out(batch(docs))
+        yield from dealt(rows(batches), schema)
 
     return run
 
 
-FOUND = "id long, hash long, start long, end long"
-
-
-def met(window: int):
-    """All rows of a bucket -> the spans to remove (id, hash, start, end)."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
-        number, ids, doc, text, start, count, out = Ids(), [], [], [], [], [], []
-        ints = lambda x: np.frombuffer(press.decompress(x), np.int64)
-        for table in rows:
-            for r in range(table.num_rows):
-                i, t, s, e = (ints(table.column(c)[r].as_py()) for c in (1, 2, 3, 4))
-                blob = press.decompress(table.column(5)[r].as_py())
+def counted(window: int, buckets: int):
+    """Files (file, path) -> the prefixes of each batch, by bucket."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for file, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for number, (_, ids, texts) in enumerate(batches_of(path)):
+                    found = Windows(ids, texts, window)
+                    if len(found.at):
+                        keys, counts = found.prefixes()
+                        bucket = np.minimum((keys * (buckets / 2.0**48)).astype(np.int64), buckets - 1)
+                        cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
+                        for lo, hi in zip(cut, cut[1:], strict=False):
+                            yield int(bucket[lo]), file, path, number, squeezed(np.diff(keys[lo:hi], prepend=0)), squeezed(counts[lo:hi])
+        give_back()
+
+    return batched(rows, COUNTED)
+
+
+def judged(crowd: int):
+    """All prefixes of a bucket -> for each batch which it should go on with: 0 none, 1 those that fit, 2 crowded ones."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        who, keys, counts = [], [], []
+        for b in batches:
+            for bucket, file, path, number, k, c in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                who.append((file, path, number, bucket))
+                keys.append(np.cumsum(opened(k)))
+                counts.append(opened(c))
+        if not who:
+            return
+        sizes = np.array([len(k) for k in keys])
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        del keys, counts
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        times = np.diff(new, append=len(order))
+        several = (times > 1) | (np.maximum.reduceat(count[order] & 1, new) > 0)
+        state = np.where(several, np.where(np.add.reduceat(count[order] >> 1, new) > crowd, 2, 1), 0).astype(np.uint8)
+        out = np.empty(len(order), np.uint8)
+        out[order] = np.repeat(state, times)
+        count >>= 1
+        for w, hi, n in zip(who, np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+            own, c = out[hi - n : hi], count[hi - n : hi]
+            yield *w, zstandard.compress(own.tobytes(), 1), int(c[own == 1].sum()), int(c[own == 2].sum())
+
+    return batched(rows, STATES)
+
+
+def shipped(window: int, fits: int, crowded: int):
+    """States, sorted by file, batch and bucket -> each batch's own spans, and the stretches that go to buckets."""
+
+    def ship(file: int, row: int, ids: list[int | None], found: Windows, states: np.ndarray) -> Iterator[tuple]:
+        state = found.spread(states)
+        some = np.flatnonzero(state)
+        if not len(some):
+            return
+        state, at = state[some], found.at[some]
+        who = np.array([0 if i is None else i for i in ids], np.int64)
+        owner = found.owner[at]
+        begin = np.searchsorted(found.owner, np.arange(len(ids)))
+        covered = np.zeros(len(found.h) + 1, np.int8)
+        covered[at] += 1
+        covered[at + window] -= 1
+        covered = np.cumsum(covered, dtype=np.int64)[:-1] > 0
+        words = np.flatnonzero(covered)
+        f, t = stretches(words)
+        text = b" ".join(found.words(words[f], words[t])).split()
+        marked = repeats(Ids().of(text), (np.cumsum(covered) - 1)[at], who[owner], window)
+        del text
+        m = np.flatnonzero(marked)
+        if len(m):
+            f, t = stretches(at[m], owner[m])
+            f, t = m[f], m[t]
+            o = owner[f]
+            yield int(who[o[0]] % fits), 0, file, squeezed(row + o), squeezed(who[o]), squeezed(at[f] - begin[o]), squeezed(at[t] - begin[o] + window), b""
+        go = np.flatnonzero(~marked)
+        if not len(go):
+            return
+        at, owner, crowd = at[go], owner[go], state[go] == 2
+        key = found.key[some][go]
+        bucket = (mix(key.astype(np.uint64)) % np.uint64(fits)).astype(np.int64)
+        if crowd.any():
+            key[crowd] = fingerprints(found.h, window)[at[crowd]].view(np.int64)
+            bucket[crowd] = fits + (mix(key[crowd].view(np.uint64)) % np.uint64(crowded)).astype(np.int64)
+        f, t = stretches(at, key, owner)
+        order = np.lexsort((key[f], bucket[f]))
+        f, t = f[order], t[order]
+        first, last, bucket, own = at[f], at[t] + window, bucket[f], owner[f]
+        cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            x, o, a, z = int(bucket[lo]), own[lo:hi], first[lo:hi], last[lo:hi]
+            blob = zstandard.compress(b"\n".join(found.words(a, z - 1)), 3)
+            yield x, file // SALT_FILES if x >= fits else 0, file, squeezed(row + o), squeezed(who[o]), squeezed(a - begin[o]), squeezed(z - begin[o]), blob
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        every = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True))
+        for (file, path), own in groupby(every, lambda r: r[:2]):
+            states: dict[int, list[bytes]] = {}
+            for _, _, number, x in own:
+                states.setdefault(number, []).append(x)
+            for number, (row, ids, texts) in enumerate(batches_of(path)):
+                if number in states:
+                    known = np.frombuffer(b"".join(map(zstandard.decompress, states.pop(number))), np.uint8)
+                    if known.any():
+                        yield from ship(file, row, ids, Windows(ids, texts, window), known)
+        give_back()
+
+    return batched(rows, ROWS)
+
+
+def met(window: int, fits: int, last: bool):
+    """All rows of a group -> spans to remove, by file, without a bucket; and what stays of a group to be met again."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        number, held, ids, group, salt = Ids(), [], [], 0, 0
+        for b in batches:
+            for group, salt, file, *blobs, blob in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
                 if not blob:
-                    out.append((i, t, s, e))
+                    yield -1, 0, file, *blobs, b""
                     continue
-                words = blob.split()
-                ids.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
-                for held, x in ((doc, i), (text, t), (start, s), (count, e)):
-                    held.append(x)
-        if ids:
-            ids, doc, text, start, count = (np.concatenate(x) for x in (ids, doc, text, start, count))
-            h = word_hash(number, list(number))[ids]
-            number.clear()
-            owner = np.repeat(np.arange(len(doc)), count)
-            begin = np.cumsum(count) - count
-            at = np.flatnonzero(owner[: len(ids) - window + 1] == owner[window - 1 :])
-            own = owner[at]
-            prints = fingerprints(h, window)[at]
-            del h, owner
-            marked = repeats(prints, ids, at, doc[own], window)
-            o, s, e = spans(marked, at, at - begin[own] + start[own], own, window)
-            out.append((doc[o], text[o], s, e))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "hash", "start", "end"])
+                ids.append(number.of(zstandard.decompress(blob).split()))
+                r, who, s, e = map(opened, blobs)
+                held.append((np.full(len(r), file), r, who, s, e))
+        if not ids:
+            return
+        ids = np.concatenate(ids)
+        file, row, who, start, end = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        known = list(number) if group >= fits and not last else []
+        number.clear()
+        count = end - start
+        owner = np.repeat(np.arange(len(count)), count)
+        begin = np.cumsum(count) - count
+        at = np.flatnonzero(owner[: len(ids) - window + 1] == owner[window - 1 :])
+        owner = owner[at]
+        marked = repeats(ids, at, who[owner], window)
+
+        def spans(chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+            f, t = stretches(at[chosen], owner[chosen])
+            f, t = chosen[f], chosen[t]
+            o = owner[f]
+            order = np.argsort(file[o], kind="stable")
+            f, t, o = f[order], t[order], o[order]
+            return o, at[f], at[t] + window, np.flatnonzero(np.diff(file[o], prepend=-1, append=-1))
+
+        for chosen, again in ((np.flatnonzero(marked), False), (np.flatnonzero(~marked), True)):
+            if not len(chosen) or again and not known:
+                continue
+            o, a, z, cut = spans(chosen)
+            shift = start[o] - begin[o]
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                own = slice(lo, hi)
+                places = (squeezed(row[o[own]]), squeezed(who[o[own]]), squeezed((a + shift)[own]), squeezed((z + shift)[own]))
+                text = zstandard.compress(b"\n".join(b" ".join([known[i] for i in ids[x:y].tolist()]) for x, y in zip(a[own], z[own], strict=True)), 3) if again else b""
+                yield group if again else -1, salt, int(file[o[lo]]), *places, text
+        give_back()
 
-    return run
+    return batched(rows, ROWS)
 
 
 def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, spans) -> id, n_words, n_removed, kept (the words left, joined by one space)."""
-    for b in batches:
-        rows = []
-        for text, found in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-            words = words_of(text.as_py())
-            left = words
-            if found:
-                gone = np.zeros(len(words) + 1, np.int64)
-                for s in found:
-                    gone[s["start"]] += 1
-                    gone[s["end"]] -= 1
-                stays = np.cumsum(gone[:-1]) == 0
-                left = [w for w, x in zip(words, stays.tolist(), strict=True) if x]
-            rows.append((len(words), len(words) - len(left), b" ".join(left)))
-        n, removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], names=["id", "n_words", "n_removed", "kept"]
-        )
-
-
-def repeated_spans(docs: DataFrame, window: int, chars: int, crowd: int) -> DataFrame:
-    """Spans of words to remove, of documents (id, hash, text)."""
-    spark = docs.sparkSession
-    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-stored // GROUP_BYTES), 100_000))
-    docs = docs.filter("id IS NOT NULL AND text IS NOT NULL")
-    sent = docs.mapInArrow(shipped(window, chars, buckets, crowded_slots(docs, window, chars, crowd)), SHIPPED)
-    return sent.groupBy("bucket").applyInArrow(met(window), FOUND)
-
-
-def substring_dedup(docs: DataFrame, window: int = 13, row_id: str = "doc_id", text: str = "text", chars: int = 12, crowd: int = CROWD) -> DataFrame:
+    """Files and their spans, sorted by file -> id, n_words, n_removed, kept (the words left, joined by one space)."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        who, n, removed, kept = zip(*rows, strict=True)
+        arrays = [pa.array(who, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=["id", "n_words", "n_removed", "kept"])
+
+    every = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
+    for _, own in groupby(every, lambda r: r[0]):
+        path, spans = None, []
+        for _, p, *blobs in own:
+            if p is None:
+                spans.append([opened(x) for x in blobs])
+            else:
+                path = p
+        row, start, end = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(row, kind="stable")
+        row, start, end = row[order], start[order], end[order]
+        out, size = [], 0
+        for first, ids, texts in batches_of(path):
+            cut = np.searchsorted(row, np.arange(first, first + len(ids) + 1)).tolist()
+            for who, text, lo, hi in zip(ids, texts, cut, cut[1:], strict=False):
+                left = words = text.split()
+                if hi > lo:
+                    gone = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(gone, start[lo:hi], 1)
+                    np.subtract.at(gone, end[lo:hi], 1)
+                    left = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
+                out.append((who, len(words), len(words) - len(left), b" ".join(left)))
+                size += len(text)
+                if size > 1 << 20:
+                    yield batch(out)
+                    out, size = [], 0
+        if out:
+            yield batch(out)
+    give_back()
+
+
+def repeated_spans(files: DataFrame, n_files: int, stored: int, window: int, crowd: int) -> DataFrame:
+    """``file, rows, starts, ends``: spans of words to remove, packed, of files (file, path) of documents (id, text)."""
+    spark = files.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, -(-stored // COUNT_BYTES))
+    counts = files.repartitionById(n_files, F.col("file")).mapInArrow(counted(window, buckets), COUNTED)
+    states = settle(counts.groupBy("bucket").applyInArrow(judged(crowd), STATES), "substring-prefixes")
+    total = states.agg(F.sum("fits"), F.sum("crowded")).first()
+    fits, crowded = (max(tasks, -(-(n or 0) // GROUP)) for n in total)
+    sent = states.repartitionById(n_files, F.col("file")).sortWithinPartitions("file", "batch", "bucket").mapInArrow(shipped(window, fits, crowded), ROWS)
+    found, parts = [], -(-n_files // SALT_FILES)
+    while True:
+        got = settle(sent.groupBy("bucket", "salt").applyInArrow(met(window, fits, parts == 1), ROWS), "substring-spans")
+        found.append(got.filter("bucket < 0").select("file", "rows", "starts", "ends"))
+        if parts == 1:
+            break
+        parts = -(-parts // 64)
+        sent = got.filter("bucket >= 0").withColumn("salt", F.floor(F.col("salt") / 64).cast("int"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def substring_dedup(docs: DataFrame, window: int = 13, row_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """One row per row: ``<row_id>, n_words, n_removed, kept`` (the words that stay, joined by one space).
 
     Words are maximal runs without ASCII white space, unchanged. A word goes if a run of ``window`` words
     that covers it also starts in a document with a smaller id; all runs are judged on the input. Null text
     has no words. A row without an id loses nothing and costs others nothing; rows that repeat an id are
     not smaller than each other and are judged each by its own text. Documents under ``window`` words lose
-    nothing. No rows in, no rows out; other columns are ignored.
+    nothing. No rows in, no rows out; other columns are ignored. Ids are whole numbers (or strings of them).
     """
-    source = docs.select(F.col(row_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
-    found = settle(repeated_spans(source, window, chars, crowd), "substring-spans")
-    docs.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of the step above
-    per = found.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    per = per.select(F.col("id").alias("i"), F.col("hash").alias("h"), "spans")
-    both = source.join(per, (F.col("id") == F.col("i")) & (F.col("hash") == F.col("h")), "left").select("id", "text", "spans")
-    out = both.mapInArrow(kept_words, "id long, n_words long, n_removed long, kept string")
+    spark = docs.sparkSession
+    held = settle(docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")), "substring-texts")
+    paths = sorted(held.inputFiles())
+    schema = "id long, n_words long, n_removed long, kept string"
+    if not paths:
+        return spark.createDataFrame([], schema).withColumnRenamed("id", row_id)
+    files = spark.createDataFrame(list(enumerate(paths)), "file int, path string")
+    stored = int(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    found = repeated_spans(files, len(paths), stored, window, crowd)
+    none = F.lit(None)
+    every = found.select("file", none.cast("string").alias("path"), "rows", "starts", "ends").unionByName(
+        files.select("file", "path", *[none.cast("binary").alias(c) for c in ("rows", "starts", "ends")])
+    )
+    out = every.repartitionById(len(paths), F.col("file")).sortWithinPartitions("file").mapInArrow(kept_words, schema)
     return out.withColumnRenamed("id", row_id)
 
 
