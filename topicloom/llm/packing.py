@@ -3,8 +3,9 @@
 Every partition tokenises its documents and packs the pieces locally, longest first, each into the bin
 with the least room that still takes it. Nearly full bins are done. The others become items themselves and
 go to an eighth as many partitions, where they are packed again, and so on up a tree; each level asks for
-a little less fill, so that what climbs shrinks and the root sees few bins. Levels are written tables, so a
-lost executor costs one task. A partition holds at most ``buffer`` pieces at a time.
+a little less fill, so that what climbs shrinks and the root sees few bins (of bins half full or less, best
+fit leaves one a task). Levels are written tables, so a lost executor costs one task. A task that has
+``buffer`` pieces packs them and goes on; what is not nearly full climbs like the rest.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import give_back, settle
 
 TOKENIZER = "word_bpe_49k.json"
 #: Fill (as a part of the length) from which a bin is done, by level; the last holds from there on.
-FILLS = (0.98, 0.9, 0.75, 0.5)
+FILLS = (0.98, 0.9, 0.8, 0.65, 0.5)
 FAN_IN = 8
-WORDS = 400_000
+#: Words that a Python worker remembers at most, some 150 bytes each.
+WORDS = 600_000
 #: Marks that the tokenizer parts from the letters before them.
 MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 #: Letters that neither composition nor lower-casing turns into more than a letter.
@@ -38,50 +40,69 @@ LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\
 class WordEncoder:
     """Ids of whole texts, word by word, with a bounded memory of words.
 
-    The tokenizer never joins what white space parts, so the ids of a text are those of its words in turn.
-    Strings of special tokens inside a text are ordinary text.
+    The tokenizer never joins what white space parts, so the ids of a text are those of its words in turn; the
+    strings of its special tokens hold no white space. When the memory is full, what was never met again since
+    it was learned is forgotten.
     """
 
-    def __init__(self, path: str, words: int = WORDS, ids: int = 8_000_000) -> None:
+    def __init__(self, path: str, words: int = WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most = words, ids
+        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the fast one keeps no offsets
+        self.most = words
         #: Whether an id ends a word; the vocabulary writes that as a suffix.
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.index: dict[bytes, int] = {b"": 0}
         self.flat = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
+        self.begin, self.size, self.again = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, bool)
         self.used = 0
 
-    def raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.flat.dtype).tobytes()
+    def tokenized(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
 
-    def put(self, words: list[bytes], ids: list[bytes]) -> None:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.flat.itemsize
-        at, used = len(self.index), self.used + int(sizes.sum())
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of known words, by number, in turn."""
+        n = self.size[at].astype(np.int64)
+        ends = np.cumsum(n)
+        place = np.repeat(self.begin[at] - (ends - n), n)
+        place += np.arange(len(place))
+        return self.flat[place]
+
+    def put(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, used = len(self.index), self.used + len(ids)
         while used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while at + len(ids) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        self.flat[self.used : used] = np.frombuffer(b"".join(ids), self.flat.dtype)
-        self.begin[at : at + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.size[at : at + len(ids)] = sizes
+        while at + len(words) > len(self.begin):
+            self.begin, self.size, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.again))
+        self.flat[self.used : used] = ids
+        self.begin[at : at + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[at : at + len(words)] = sizes
         self.used = used
-        self.index.update(zip(words, range(at, at + len(ids)), strict=True))
+        self.index.update(zip(words, range(at, at + len(words)), strict=True))
+
+    def put_lists(self, words: list[bytes], ids: list[list[int]]) -> None:
+        self.put(words, np.array([x for own in ids for x in own], self.flat.dtype), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def shrink(self) -> None:
+        """Forget words that were not met again; of the others, those learned first stay, half the bound at most."""
+        keep = np.flatnonzero(self.again[: len(self.index)])[: self.most // 2]
+        words = list(self.index)
+        held, ids, sizes = [words[i] for i in keep.tolist()], self.gather(keep), self.size[keep]
+        self.clear()
+        if len(ids) <= 10 * self.most:
+            self.put(held, ids, sizes)
 
     def learn(self, new: list[bytes]) -> None:
         """Ids of new words. Latin letters and one mark behind them are looked up in parts."""
-        whole: list[bytes] = []
+        cores: list[bytes] = []
         cut: list[tuple[bytes, bytes]] = []
+        whole: list[bytes] = []
         other: list[bytes] = []
         for w in new:
             core, mark = (w[:-1], w[-1:]) if w[-1:] in MARKS else (w, b"")
@@ -90,42 +111,42 @@ class WordEncoder:
             elif core.isascii() or not LATIN(core.decode()):
                 other.append(w)
                 continue
-            whole.append(w)
-            cut.append((core, mark))
-        cores = self.cores
-        todo = [c for c in {x: None for pair in cut for x in pair if x} if c not in cores]
+            cores.append(core)
+            if core != w:
+                whole.append(w)
+                cut.append((core, mark))
+        todo = [x for x in dict.fromkeys([*cores, *(m for _, m in cut)]) if x not in self.index]
         for k in range(0, len(todo), 4096):
             part = todo[k : k + 4096]
-            ids = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(part):  # a tokenizer that doesn't end each word with a mark of its own
-                cores.update((c, self.raw(e.ids)) for c, e in zip(part, self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True))
-            else:
-                raw, size = self.raw(ids), self.flat.itemsize
-                cores.update((c, raw[x * size : y * size]) for c, x, y in zip(part, [0, *ends], ends))
-        self.put(whole, [cores[c] + cores[m] if m else cores[c] for c, m in cut])
+            ids = np.array(self.tokenized([b" ".join(part)])[0], self.flat.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                self.put(part, ids, np.diff(ends, prepend=0))
+            else:  # a tokenizer that doesn't end each word with a mark of its own
+                self.put_lists(part, self.tokenized(part))
+        if whole:  # no mark is the empty word, number 0
+            parts = np.array([(self.index[c], self.index[m]) for c, m in cut], np.int64)
+            self.put(whole, self.gather(parts.ravel()), self.size[parts].sum(axis=1))
         for k in range(0, len(other), 4096):
             part = other[k : k + 4096]
-            self.put(part, [self.raw(e.ids) for e in self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)])
+            self.put_lists(part, self.tokenized(part))
 
-    def encode(self, text: str) -> np.ndarray:
-        words = text.encode().split()
+    def encode(self, text: bytes) -> np.ndarray:
+        words = text.split()
         if not words:
             return np.zeros(0, np.uint32)
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
         if len(missing):
-            if len(self.index) + len(self.cores) > self.most[0] or self.used > self.most[1]:
-                self.clear()
-                missing = range(len(words))
-            self.learn(list(dict.fromkeys([words[i] for i in missing])))
-            for i in missing:
-                at[i] = self.index[words[i]]
-        n = self.size[at]
-        ends = np.cumsum(n)
-        place = np.repeat(self.begin[at] - (ends - n), n)
-        place += np.arange(len(place))
-        return self.flat[place].astype(np.uint32)
+            if len(self.index) > self.most or self.used > 20 * self.most:
+                self.shrink()
+                at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+                missing = np.flatnonzero(at < 0)
+            new = [words[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            at[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        return self.gather(at).astype(np.uint32)
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -188,9 +209,11 @@ def pack(
 
     A document is its ids and ``end_id``; null or empty text is ``end_id`` alone. Only documents longer
     than ``length`` are cut, into pieces of that length, the last maybe shorter. Pieces of a sequence fill
-    it from 0 without gaps. Repeated rows and null ids are packed like any; no rows in, no rows out; other
-    columns are ignored. ``tokenizer`` is the path of a tokenizer file on the executors. A Python worker
-    remembers at most ``words`` words and parts of words, some 300 bytes each, and then starts anew.
+    it from 0 without gaps. Strings of the tokenizer's special tokens in a text give those tokens. Repeated
+    rows and null ids are packed like any; no rows in, no rows out; other columns are ignored. ``tokenizer``
+    is the path of a tokenizer file on the executors. ``ids`` holds a piece's ids as little-endian unsigned
+    numbers, of 16 bits if the vocabulary fits, else of 32; ``ids_crc32`` is always of 32-bit ones. Pieces of
+    one task keep near each other: sequences that no task had to pass on are numbered by task, in its order.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -200,7 +223,7 @@ def pack(
     member = T.StructType(
         [T.StructField("id", id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]
         + [T.StructField("crc", T.LongType())]
-        + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
+        + [T.StructField("ids", T.BinaryType())] * with_ids
         + [T.StructField("offset", T.LongType())]
     )
     schema = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("fill", T.LongType()), T.StructField("members", T.ArrayType(member))])
@@ -232,14 +255,15 @@ def pack(
             yield batch()
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, numbers, items = encoder(tokenizer, words).encode, iter(range(1 << 32)), []
+        memory = encoder(tokenizer, words)
+        encode, narrow, numbers, items = memory.encode, memory.flat.dtype.newbyteorder("<"), iter(range(1 << 32)), []
         for b in batches:
             done = []
             for who, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(encode(body.as_py() or ""), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encode(body.as_py() or b""), np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), length)):
                     part = ids[start : start + length]
-                    held = ([part.tolist()] if with_ids else [])
+                    held = [part.astype(narrow).tobytes()] if with_ids else []
                     one = (len(part), [(who, piece, start, len(part), zlib.crc32(part.tobytes()), *held, 0)])
                     (done if len(part) == length else items).append(one)
             yield from bins(iter(done), 0, numbers)
@@ -247,6 +271,7 @@ def pack(
                 yield from bins(packed(items, length), 0, numbers)
                 items = []
         yield from bins(packed(items, length), 0, numbers)
+        give_back()
 
     def node(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +286,9 @@ def pack(
 
         return merge
 
-    source = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
-    width = max(1, source.rdd.getNumPartitions())
+    source = docs.select(F.col(row_id).alias("id"), F.col(text).cast("binary").alias("text"))
     got = settle(source.mapInArrow(leaf, schema), "pack-leaves")
+    width = 1 + int(got.agg(F.max(F.shiftright("sequence_id", 32))).first()[0] or 0)
     done, level = [], 0
     while width > 1:
         full = F.col("fill") >= int(length * fills[min(level, len(fills) - 1)])
@@ -280,12 +305,15 @@ def pack(
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=1_200_000)
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces of all documents and their places in sequences."""
-    return pack(docs)
+    """Pipeline stage, the last: the pieces of all documents, their token ids and their places in sequences.
+
+    Nulls, blanks, repeated rows and empty tables are as in ``pack``.
+    """
+    return pack(docs, with_ids=True)
 
 
 ORACLE: dict[str, str] = {}
