@@ -18,7 +18,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, starts
+from .common import let, settle, starts
 
 #: In the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -87,10 +87,23 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.flatten(F.array(*parts)))
 
 
+def outside(text: Column, spans: Column) -> Column:
+    """The text before, between and after sorted spans, cut by their places and joined by spaces; one pass of it."""
+    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,n:bigint>>").alias("gaps"))
+    gap = lambda a, s: F.struct(a["at"].alias("start"), F.greatest(s["start"] - a["at"], F.lit(0)).alias("n"))
+    cut = F.aggregate(spans, state, lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["gaps"], F.array(gap(a, s))).alias("gaps")))
+    part = lambda g: F.substring(text, (g["start"] + 1).cast("int"), g["n"].cast("int"))
+    return let(cut, lambda c: F.concat_ws(" ", F.transform(c["gaps"], part), F.substring(text, (c["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+
+
+def words_of(text: Column) -> Column:
+    """Lower-case runs of letters and digits; the first or last may be empty."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+
 def terms_of(text: Column, spans: Column) -> Column:
     """Distinct lower-case terms of three letters and more outside the spans."""
-    rest = F.when(F.size(spans) > 0, F.aggregate(spans, text, lambda t, s: F.replace(t, s["value"], F.lit(" ")))).otherwise(text)
-    words = F.array_distinct(F.split(F.lower(rest), r"[^\p{L}\p{N}]+"))
+    words = F.array_distinct(words_of(F.when(F.size(spans) > 0, outside(text, spans)).otherwise(text)))
     return F.filter(words, lambda w: F.length(w) >= 3)
 
 
@@ -129,9 +142,14 @@ def revealing(found: DataFrame, docs: DataFrame, text: str, disclosure: float, m
     if not n_terms:
         return None
     body = F.coalesce(F.col(text), F.lit(""))
-    every = docs.select(F.xxhash64(body).alias("digest"), F.explode(terms_of(body, base_spans(body))).alias("term"))
-    met = every.join(F.broadcast(terms) if n_terms <= broadcast_terms else terms, "term", "left_semi")
-    df = met.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    terms = F.broadcast(terms) if n_terms <= broadcast_terms else terms
+    # No pattern runs again: all words of all texts are counted, and where texts have spans, what stands outside
+    # them takes the place of the whole.
+    met = lambda rows, words: rows.select("digest", F.explode(words).alias("term")).join(terms, "term", "left_semi").distinct()
+    every = met(docs.select(F.xxhash64(body).alias("digest"), body.alias("text")), words_of(F.col("text"))).select("term", F.lit(1).alias("n"))
+    whole = met(some, words_of(F.col("text"))).select("term", F.lit(-1).alias("n"))
+    outer = met(some, terms_of(F.col("text"), F.col("spans"))).select("term", F.lit(1).alias("n"))
+    df = every.unionByName(whole).unionByName(outer).groupBy("term").agg(F.sum("n").alias("n_t"))
     scored = pairs.join(df, "term").withColumn("pmi", F.log2(p("n_tc") / (p("n_t") * p("n_c"))))
     return settle(scored.filter(F.col("pmi") >= disclosure * F.col("ic")).select("entity", "term", "pmi", "ic"), "pii-revealing")
 
@@ -167,8 +185,8 @@ def sanitise(
             .groupBy("rid")
             .agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
         )
-        outside = lambda x: ~F.exists("spans", lambda s: (x["start"] < s["end"]) & (s["start"] < x["end"]))
-        extra = F.filter(located(F.col("text"), TOKEN), lambda x: F.array_contains("terms", F.lower(x["value"])) & outside(x))
+        apart = lambda x: ~F.exists("spans", lambda s: (x["start"] < s["end"]) & (s["start"] < x["end"]))
+        extra = F.filter(located(F.col("text"), TOKEN), lambda x: F.array_contains("terms", F.lower(x["value"])) & apart(x))
         more = some.join(marked, "rid").select("rid", ranked(extra, 4).alias("extra"))
         found = found.join(more, "rid", "left").withColumn(
             "spans", F.when(F.col("extra").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "extra")))
