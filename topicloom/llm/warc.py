@@ -34,7 +34,7 @@ REVISIT_FROM = 100
 #: Up to so many digests of repeated payloads are broadcast to the writers; more are joined by shuffle.
 BROADCAST_DIGESTS = 100_000
 #: Bytes of an archive that one reading group spans, and gaps and totals that one read may have.
-STRETCH, GAP, READ = 16 << 20, 64 << 10, 4 << 20
+STRETCH, GAP, READ = 8 << 20, 64 << 10, 4 << 20
 #: Archives are closed at this size.
 ARCHIVE = 1 << 30
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
@@ -206,9 +206,15 @@ def fetched(payloads: bool):
 
 
 def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records that index rows (file, offset, length) name; payloads only if asked for."""
-    wanted = index.select("file", F.floor(F.col("offset") / STRETCH).alias("stretch"), "offset", "length")
-    return wanted.repartition("file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(fetched(payloads), READ_SCHEMA)
+    """The records that index rows (file, offset, length) name; payloads only if asked for.
+
+    Rows are dealt by stretches of archive to as many tasks as their bytes ask for, however small the index.
+    Records named twice are read twice; rows that lack one of the three name nothing; no rows, no records.
+    """
+    wanted = index.filter("file IS NOT NULL AND offset IS NOT NULL AND length IS NOT NULL")
+    wanted = wanted.select("file", F.floor(F.col("offset") / STRETCH).alias("stretch"), "offset", "length")
+    tasks = 1 + 2 * int((wanted.agg(F.sum("length")).first()[0] or 0) // STRETCH)
+    return wanted.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(fetched(payloads), READ_SCHEMA)
 
 
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +240,9 @@ def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def index_archives(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Index of WARC archives (record-wise gzip) that a table names in its column ``file``."""
-    return files.select("file").repartition("file").mapInArrow(scanned, INDEX)
+    """Index of WARC archives (record-wise gzip) that a table names in its column ``file``, once each; nulls name none."""
+    named = files.select("file").filter("file IS NOT NULL").distinct()
+    return named.repartition(max(1, named.count()), "file").mapInArrow(scanned, INDEX)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
