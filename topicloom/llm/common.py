@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space as the contracts name it: space and \t \n \v \f \r.
 SPACE = r"\x20\x09-\x0D"
@@ -18,13 +21,16 @@ WORD = rf"[^{SPACE}]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Only where it is unset and all of Spark runs on this machine (tests), a temporary folder is made and set;
+    on a cluster such a folder would lie on each machine's own disk, so there it is an error.
     """
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         got = held.get() if held.isDefined() else None
     if not got:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         got = "file://" + tempfile.mkdtemp(prefix="topicloom-")
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
@@ -42,6 +48,38 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def source_of(docs: DataFrame) -> str:
+    """The path of ``docs`` if it is one plain Parquet table, else that of a written copy."""
+    spark = docs.sparkSession
+    files = docs.inputFiles()
+    for path in (files if len(files) == 1 else []) + [f.rpartition("/")[0] for f in files[:1]]:
+        if "=" in path.rpartition("/")[2]:
+            continue
+        try:
+            if spark.read.parquet(path).sameSemantics(docs):
+                return path
+        except Exception as e:  # a folder that holds other tables too has no one schema
+            if "UNABLE_TO_INFER" not in str(e) and "AnalysisException" not in type(e).__name__:
+                raise
+    docs.write.parquet(path := fresh(spark, "source"))
+    return path
+
+
+def located(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The Parquet table at ``path`` with each row's locator ``at`` (file, row), which names it for good."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return spark.read.schema(schema).parquet(path).withColumn("at", at)
+
+
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the system: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete tables of the shared folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, fresh, settle
+from .common import SPACE, fresh, located, settle, source_of
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -33,22 +33,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
-def source_of(docs: DataFrame) -> str:
-    """Where ``docs`` can be streamed from: its own path if it is one plain Parquet table, else a written copy."""
-    spark = docs.sparkSession
-    files = docs.inputFiles()
-    for path in {f.rpartition("/")[0] for f in files[:1]} | set(files[:1] if len(files) == 1 else []):
-        try:
-            if path.endswith("documents.parquet") or path and "=" not in path.rpartition("/")[2]:
-                if spark.read.parquet(path).sameSemantics(docs):
-                    return path
-        except Exception as e:  # a folder that holds other tables too has no one schema
-            if "UNABLE_TO_INFER" not in str(e) and "AnalysisException" not in type(e).__name__:
-                raise
-    docs.write.parquet(path := fresh(spark, "dedup-docs"))
-    return path
-
-
 def as_stream(spark: SparkSession, path: str) -> str:
     """File streams take folders and patterns: a single file is named by a pattern that only it fits."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -91,20 +75,15 @@ def keyed_state(
             "spark.sql.streaming.noDataMicroBatches.enabled",
         )
     }
-    for k, v in zip(held, (ROCKS, "true", "300", "false", "false"), strict=True):
+    writer = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", fresh(spark, "dedup-stream"))
+    for k, v in zip(held, (ROCKS, "true", "100", "false", "false"), strict=True):
         spark.conf.set(k, v)
     try:
-        (
-            state.writeStream.outputMode("update")
-            .foreachBatch(put)
-            .option("checkpointLocation", fresh(spark, "dedup-stream"))
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
+        running = writer.trigger(availableNow=True).start()  # the stream keeps a copy of the settings
     finally:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    running.awaitTermination()
     wanted = T.StructType([*state.schema.fields, T.StructField("batch", T.LongType())])
     kept = spark.read.schema(wanted)
     try:
@@ -177,12 +156,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts one document stays."""
+    """Pipeline stage: of equal texts one document stays, as ``exact_dedup`` picks it.
+
+    Rows are told apart by their place in the table, so repeated ids and rows do no harm. Null and blank
+    texts are equal to each other as there; an empty table gives no rows; all columns are kept as they are.
+    """
     path = source_of(docs)
-    kept = exact_dedup(spark, path).filter("kept").select(F.col("at").alias("kept_at"))
-    rows = spark.read.schema(docs.schema).parquet(path)
-    rows = rows.withColumn("kept_at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
-    return rows.join(kept, "kept_at", "left_semi").select(*docs.columns)
+    kept = exact_dedup(spark, path).filter("kept").select("at")
+    return located(spark, path, docs.schema).join(kept, "at", "left_semi").select(*docs.columns)
 
 
 ORACLE = {

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, word_count
+from .common import located, settle, source_of, word_count
 
 #: Knots (u, weight) of the schedules, dealt to the sources in order, again and again. Their integrals
 #: are 5, 2 and 1: the heaviest sources lead early in training and the light ones late.
@@ -86,6 +86,7 @@ def mix(
     row_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    order: str | None = None,
 ) -> DataFrame:
     """What a mix takes of each document: ``row_id, source, size, source_size, target, taken, copies, positions, position``.
 
@@ -95,9 +96,10 @@ def mix(
     so that ``taken`` is ``copies`` times the size. ``positions`` are the training times of the copies,
     ``position`` the first (null if none). A null or blank text has size 0 and is not taken; null ids are
     ordered like an empty id; repeated rows count each; an empty table gives no rows. ``digits`` hex
-    digits name the buckets of a source. Only the three columns named are read.
+    digits name the buckets of a source. ``order`` names a column whose hash orders documents in place of
+    the id's. Only the columns named are read.
     """
-    key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col(order or row_id).cast("string"), F.lit(""))))
     sized = settle(docs.select(F.col(row_id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key")), "mix-sizes")
     sized = sized.withColumn("bucket", F.substring("key", 1, digits))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -137,12 +139,18 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: whole documents, each as often as the mix takes it, in training order."""
-    row = F.struct("doc_id", F.xxhash64("text"))  # ids may repeat, but not with the same text after exact dedup
-    taken = mix(docs.select(row.alias("mixed"), "text", "source"), whole=True, row_id="mixed").filter("copies > 0")
-    taken = taken.select("mixed", F.explode("positions").alias("mixed_at"))
-    out = docs.select(F.struct(*docs.columns).alias("doc"), row.alias("mixed")).join(taken, "mixed")
-    return out.repartitionByRange("mixed_at").sortWithinPartitions("mixed_at", "mixed").select("doc.*")
+    """Pipeline stage: whole documents, each as often as the mix takes it, in training order.
+
+    Documents are ordered by id and text, so reruns agree; rows are told apart by their place in the table,
+    so each of several equal rows is taken as often as it is due. Rows without words are not taken; null
+    sources are a source; an empty table gives no rows; all columns are kept as they are.
+    """
+    rows = located(spark, source_of(docs), docs.schema)
+    named = rows.select("at", "text", "source", F.struct("doc_id", F.xxhash64("text")).alias("order"))
+    taken = mix(named, whole=True, row_id="at", order="order").filter("copies > 0")
+    taken = taken.select("at", F.explode("positions").alias("mixed_at"))
+    out = rows.select(F.struct(*docs.columns).alias("doc"), "at").join(taken, "at")
+    return out.repartitionByRange("mixed_at").sortWithinPartitions("mixed_at", "doc.doc_id").select("doc.*")
 
 
 ORACLE = {

@@ -12,7 +12,9 @@
    family is cut into blocks, and each pair of blocks is a task of bounded size. What leaves a task is a
    spanning forest of verified links, grouped by union-find.
 
-No link is lost but by banding: at the threshold itself a pair misses all bands with probability 5e-8.
+Two chances to lose a link remain, both of signatures: at the threshold itself a pair misses all bands with
+probability 5e-8, and a tie to a leader is missed if its estimate is under 0.33 where 0.6 is the least that a
+link allows, six standard errors off. Sets are compared whole, as the 64-bit hashes of their word runs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import give_back, settle
 from .components import components
 from .shingles import Words, digest, mix, shingle_set, super_min_hash, words_of
 
@@ -39,12 +41,12 @@ BROADCAST_IDS = 3_000_000
 
 
 def signed(k: int):
-    """Documents (id, text) -> id, n, digest, keys, sig."""
+    """Documents (id, text, mark) -> id, mark, n, digest, keys, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
 
-        def out(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def out(ids: list, marks: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             sizes = np.array([len(s) for s in sets], np.int64)
             owner = np.repeat(np.arange(len(sets)), sizes)
             sig = super_min_hash(np.concatenate(sets), owner, len(sets), SLOTS)
@@ -56,21 +58,24 @@ def signed(k: int):
             low = (bits & np.uint64(255)).astype(np.uint8)
             rows = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes), pa.array([digest(s) for s in sets], pa.binary()), rows, pa.array([r.tobytes() for r in low], pa.binary())],
-                names=["id", "n", "digest", "keys", "sig"],
+                [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes), pa.array([digest(s) for s in sets], pa.binary()), rows]
+                + [pa.array([r.tobytes() for r in low], pa.binary())],
+                names=["id", "mark", "n", "digest", "keys", "sig"],
             )
 
         for b in batches:
-            ids, sets, total = [], [], 0
-            for who, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            ids, marks, sets, total = [], [], [], 0
+            for who, text, mark in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 ids.append(who)
+                marks.append(mark)
                 sets.append(shingle_set(words_of(text.as_py(), lower=True), k, memo))
                 total += len(sets[-1])
                 if total > 400_000:
-                    yield out(ids, sets)
-                    ids, sets, total = [], [], 0
+                    yield out(ids, marks, sets)
+                    ids, marks, sets, total = [], [], [], 0
             if ids:
-                yield out(ids, sets)
+                yield out(ids, marks, sets)
+        give_back()
 
     return run
 
@@ -191,7 +196,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def verified(k: int, percent: int):
-    """Sorted rows (family, bi, bj, id, digest, text) -> spanning links (u, v) between documents of one group."""
+    """Sorted rows (family, bi, bj, node, digest, text) -> spanning links (u, v) between classes of one group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, rows = Words(), []
@@ -225,6 +230,7 @@ def verified(k: int, percent: int):
                     rows = []
         if rows:
             yield out()
+        give_back()
 
     return run
 
@@ -237,46 +243,57 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80, row_id: str = "doc_
     times the intersection is at least ``percent`` times the union; ``component_id`` is the least id that
     links reach, and the document of that id is kept. Null or blank texts have an empty set and are linked
     with nothing. A row without an id is linked with nothing, has no component and is kept. Rows that
-    repeat an id all carry the id's component: rows of one id are never told apart by the links, only by
-    their sets. No rows in, no rows out; other columns are ignored.
+    repeat an id are judged each by its own text. Ids are whole numbers (or strings of them). No rows in, no
+    rows out; other columns are ignored. ``mark``, a 64-bit hash of the text, tells rows of one id apart, and
+    ``group`` tells groups apart whose least ids are the same; it is null for what cannot be linked.
     """
-    source = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
-    signs = settle(source.mapInArrow(signed(k), "id long, n long, digest binary, keys array<long>, sig binary"), "near-signs")
+    source = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    signs = settle(source.mapInArrow(signed(k), "id long, mark long, n long, digest binary, keys array<long>, sig binary"), "near-signs")
     able = signs.filter("n > 0 AND id IS NOT NULL")
-    reps = settle(able.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    classes = able.join(reps.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep"))).select("id", "digest", "n", "keys", "sig")
-    classes = settle(classes.dropDuplicates(["id", "digest"]), "near-reps")
-    family = families(classes)
-    members = settle(classes.select("id", "digest", "n").join(family, F.col("id") == F.col("node")).select("id", "digest", "n", F.col("root").alias("family")), "near-members")
+    reps = able.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("rep"))
+    classes = able.join(reps.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep.id")) & (F.col("mark") == F.col("rep.mark")))
+    classes = classes.select("id", "mark", "digest", "n", "keys", "sig").dropDuplicates(["digest"])
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "near-reps")  # numbers hold once written
+    family = families(classes.select(F.col("node").alias("id"), "keys", "sig"))
+    family = family.select(F.col("node").alias("tied"), F.col("root").alias("family"))
+    members = settle(classes.select("id", "node", "digest", "n").join(family, F.col("node") == F.col("tied")).drop("tied"), "near-members")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / WEIGHT)).cast("long").alias("blocks"))
     members = members.join(sizes, "family")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
     )
-    members = settle(members.select("id", "digest", "family", pairs.alias("pairs")), "near-blocks")
+    members = settle(members.select("id", "node", "digest", "family", pairs.alias("pairs")), "near-blocks")
     if members.count() <= BROADCAST_IDS:  # else every text goes to meet its family, if any
         source = source.join(F.broadcast(members.select("id").distinct()), "id", "left_semi")
-    whole = source.join(members.hint("merge"), "id").select("family", F.explode("pairs").alias("p"), "id", "digest", "text")
-    whole = whole.select("family", "p.i", "p.j", "id", "digest", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    whole = source.join(members.hint("merge"), "id").select("family", F.explode("pairs").alias("p"), "node", "digest", "text")
+    whole = whole.select("family", "p.i", "p.j", "node", "digest", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     links = settle(whole.mapInArrow(verified(k, percent), "u long, v long"), "near-links")
-    found = components(links, "near-groups")
-    reps = reps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("root", "rep").alias("component"))
-    named = signs.join(reps, (F.col("digest") == F.col("d")) & (F.col("n") > 0), "left")
+    found = components(links, "near-groups").withColumnRenamed("node", "linked")
+    grouped_ = classes.select("id", "node", "digest").join(found, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node"))
+    grouped_ = settle(grouped_.select(F.col("digest").alias("d"), "id", "root"), "near-named")
+    least = grouped_.groupBy("root").agg(F.min("id").alias("component"))
+    named = signs.join(grouped_.join(least, "root").select("d", "component", F.col("root").alias("group")), (F.col("digest") == F.col("d")) & (F.col("n") > 0), "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "id"))
     return named.select(
-        F.col("id").alias(row_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+        F.col("id").alias(row_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "mark", F.when(F.col("id").isNotNull(), F.col("group")).alias("group")
     )
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4)
+    return near_dup(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4).drop("mark", "group")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near-duplicates stays (five-word shingles, 0.8)."""
-    gone = near_dup(docs).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """Pipeline stage: one document of each group of near-duplicates stays (five-word shingles, 0.8).
+
+    The row of the least id stays, of several with that id the one of the least hash; rows alike in id and
+    text stay or go together. Rows without id or words stay; no rows in, no rows out; all columns are kept.
+    """
+    rows = settle(near_dup(docs).filter("group IS NOT NULL").select("doc_id", "mark", "component_id", "group"), "near-stage")
+    stays = rows.filter("doc_id = component_id").groupBy("group").agg(F.min("mark").alias("least"))
+    gone = rows.join(stays, "group").filter("doc_id <> component_id OR mark <> least").select("doc_id", "mark").distinct()
+    return docs.withColumn("mark", F.xxhash64("text")).join(gone, ["doc_id", "mark"], "left_anti").select(*docs.columns)
 
 
 ORACLE = {

@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Word (bytes) -> 64-bit hash, remembered up to a bound."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 50_000) -> None:
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -73,7 +73,7 @@ def super_min_hash(flat: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.nd
     a, b = mix(flat ^ G) | np.uint64(1), mix(flat + G)
     last = np.uint64(m - 1)
     for j in range(m):
-        r = (mix(flat + G * np.uint64(j + 2)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        r = (mix(flat + np.uint64(int(G) * (j + 2) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         slot = (a * np.uint64(j) + b) & last
         np.minimum.at(out, owner * m + slot.astype(np.int64), j + r)
         done = out.reshape(n, m).max(axis=1) < j + 1
