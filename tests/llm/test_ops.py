@@ -7,9 +7,7 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
-import zstandard
 from pyspark.sql import functions as F
 
 from topicloom.llm import ann, chat_format, exact_dedup, langid, mixing, near_dup, packing, pii, substring, warc
@@ -96,7 +94,9 @@ def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    got = packing.pack(docs, length=256, with_ids=True, buffer=7).collect()
+    got = [r.asDict() for r in packing.pack(docs, length=256, with_ids=True, buffer=7).collect()]
+    for r in got:
+        r["ids"] = np.frombuffer(r["ids"], "<u2").tolist()
     ids = sorted(tuple(tk.encode(t or "", add_special_tokens=False).ids + [1]) for _, t in TEXTS)
     by = {}
     for r in got:
@@ -116,6 +116,26 @@ def test_packing(spark, docs, none):
     assert packing.best_fit([3, 5, 2, 4], 7) == [[1, 2], [3, 0]]
 
 
+def test_packing_encodes_as_the_tokenizer_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk, few = Tokenizer.from_file(path), packing.WordEncoder(path, 60)  # forgets all the time
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|", "abc", "Éa", "don't", "x,", "ß", " ", "\n", "\u00a0", "1", "İ", "ΑΣ", "中", "\u0301", "'s", ".", " Abc abc, ABC. "]
+    for k in range(600):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(14))) + prose(k % 30)
+        assert few.encode(text.encode()).tolist() == tk.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("parts", "waste"), [(1, 0.01), (8, 0.01), (70, 0.02)])
+def test_packing_fills_sequences_at_any_depth(spark, parts, waste):
+    """1, 2 and 4 levels, against the least number of sequences that the tokens need."""
+    df = spark.createDataFrame([(i, prose(rng.choice([3, 10, 40, 90, 150]))) for i in range(3000)], "doc_id long, text string").repartition(parts)
+    got = packing.pack(df, length=512).agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+    assert got[1] <= (1 + waste) * -(-got[0] // 512) + 1
+
+
 def test_mixing(docs, none):
     for whole in (False, True):
         rows = mixing.mix(docs, whole=whole).collect()
@@ -132,7 +152,7 @@ def test_mixing(docs, none):
     assert mixing.integral(mixing.SCHEDULES[0]) == 5
 
 
-def test_substring(spark, docs, none):
+def test_substring(spark, docs, none, monkeypatch):
     window = 13
     words = lambda t: (t or "").encode().split()
     first = {}
@@ -146,27 +166,47 @@ def test_substring(spark, docs, none):
         ws = words(t)
         gone = {k + j for k in range(len(ws) - window + 1) for j in range(window) if i is not None and first[tuple(ws[k : k + window])] < i}
         want.append((i if i is not None else -1, len(ws), len(gone), b" ".join(w for k, w in enumerate(ws) if k not in gone).decode()))
-    got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept"]) for r in substring.substring_dedup(docs).collect()]
-    assert sorted(got) == sorted(want)
-    got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept"]) for r in substring.substring_dedup(docs, crowd=20).collect()]
-    assert sorted(got) == sorted(want)
+    def removed(**how):
+        got = substring.substring_dedup(docs, **how).collect()
+        return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept"]) for r in got)
+
+    assert removed() == sorted(want) and removed(crowd=5) == sorted(want)
+    monkeypatch.setattr(substring, "BATCH_BYTES", 300)  # repeats meet in groups, crowded ones by levels
+    assert removed() == sorted(want) and removed(crowd=5) == sorted(want)
     assert substring.substring_dedup(none).count() == 0
 
 
-def test_substring_splits_frequent_prefixes(spark):
-    line = " ".join(f"common{i}" for i in range(7))
-    texts = [f"{prose(9)} extraordinarily {prose(12)} {line} {prose(9)}" for _ in range(400)]
-    df = spark.createDataFrame([(i, zlib.crc32(t.encode()), t) for i, t in enumerate(texts)], "id long, hash long, text string").coalesce(1)
-    batch = pa.Table.from_batches(df._collect_as_arrow()).combine_chunks().to_batches()
+def test_substring_sorts_suffixes():
+    words = [rng.choice("abc") for _ in range(400)]
+    ids = substring.Ids().of(words)
+    for window in (1, 2, 3, 4, 5, 9, 13):
+        at = np.arange(0, 400 - window + 1, 2)
+        node = substring.nodes(ids, at, window)
+        want = {w: n for n, w in enumerate(sorted({tuple(ids[i : i + window].tolist()) for i in at}))}
+        assert [want[tuple(ids[i : i + window].tolist())] for i in at] == node.tolist()
+    big = ids + (np.arange(400) == 399) * (1 << 30)  # too many words for ranks of three parts
+    assert substring.nodes(big, np.arange(380), 13).tolist() == substring.nodes(ids, np.arange(380), 13).tolist()
 
-    def largest(crowd):
-        crowded, size = substring.crowded_slots(df, 13, 12, crowd), {}
-        for table in substring.shipped(13, 12, 997, crowded)(iter(batch)):
-            for bucket, ends in zip(table.column(0).to_pylist(), table.column(4).to_pylist(), strict=True):
-                size[bucket] = size.get(bucket, 0) + int((np.frombuffer(zstandard.decompress(ends), np.int64) - 12).sum())
-        return max(size.values())
 
-    assert largest(10**9) > 1000 and largest(50) < 200
+def test_substring_hashes_words():
+    text = "one two\tone \n two" + " x" * 40_000 + " " + "y" * 200_000 + " one " + "y" * 199_999 + "z"
+    h, start, end = substring.hashed_words(np.frombuffer(text.encode(), np.uint8))
+    words = [text[a:b] for a, b in zip(start, end)]
+    assert words == text.split() and len({(w, int(x)) for w, x in zip(words, h)}) == len(set(words)) == len(set(h.tolist()))
+
+
+def test_substring_hot_phrase_and_levels(spark, monkeypatch):
+    """A phrase in all documents, among changing neighbours: its prefix is lengthened, no group grows, nothing is lost."""
+    line = " ".join(f"common{i}" for i in range(9))
+    long = " ".join(f"passage{i}" for i in range(20))
+    texts = [f"{prose(9)} {line} {prose(9)} e{i} {long if i % 3 == 0 else prose(4)}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(substring, "BATCH_BYTES", 2000)
+    whole = sorted(map(tuple, substring.substring_dedup(df).collect()))
+    assert {r[0] for r in whole if r[2]} == set(range(3, 200, 3)) and {r[2] for r in whole if r[2]} == {20}
+    monkeypatch.setattr(substring, "SALT_FILES", 1)
+    monkeypatch.setattr(substring, "GROUP", 50)
+    assert sorted(map(tuple, substring.substring_dedup(df, crowd=30).collect())) == whole
 
 
 @pytest.mark.parametrize("k", [4, 5])
@@ -198,6 +238,44 @@ def test_near_dup_large_buckets_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, near_dup.near_dup(df, k=4).collect())) == whole
 
 
+def test_near_dup_keeps_links_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85 (sets of 200 runs): none may be lost."""
+    rows = []
+    for i in range(150):
+        words = [f"v{i}_{j}" for j in range(203)]
+        n = 16 + i % 6  # of 203 words the last n differ: 200 - n of 200 + n runs are shared
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: 203 - n] + [f"u{i}_{j}" for j in range(n)]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_dup(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert all(got[2 * i + 1] == 2 * i for i in range(150))
+
+
+def test_near_dup_stage_judges_rows_of_one_id_apart(spark):
+    lone = prose(100)
+    rows = [(1, BASE, "x"), (2, near(BASE, 2), "x"), (2, lone, "x"), (3, None, "x"), (None, BASE, "x"), (4, "", "x"), (5, near(BASE, 1), "x"), (1, prose(90), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(3)
+    got = near_dup.stage(spark, df.withColumnRenamed("mark", "source"), "")
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.withColumnRenamed("mark", "source").filter("doc_id IS NULL OR doc_id IN (1, 3, 4) OR length(text) = " + str(len(lone))).collect()))
+
+
+STAGES = [exact_dedup.stage, langid.stage, near_dup.stage, mixing.stage, packing.stage]
+
+
+@pytest.mark.parametrize("stage", STAGES, ids=lambda s: s.__module__.rpartition(".")[2])
+def test_stages_on_empty_and_odd_tables(spark, docs, none, stage):
+    """Empty tables, nulls everywhere, and columns named like the stages' own."""
+    odd = docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.lit("x").alias("at"), F.lit(1).alias("taken"), F.lit("k").alias("component_id"))
+    assert stage(spark, none, "").count() == 0
+    got = stage(spark, odd, "")
+    assert got.count() > 0 and (stage is packing.stage or got.columns == odd.columns)
+
+
+def test_mix_stage_takes_equal_rows_apart(spark):
+    rows = [(1, "a b c d", None, "s", 7)] * 3 + [(2, prose(8), None, "t", 9)]
+    got = mixing.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    taken = {r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), whole=True).groupBy("doc_id").agg(F.sum("copies").alias("copies")).collect()}
+    assert {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {k: v for k, v in taken.items() if v}
+
+
 @pytest.mark.parametrize("small", [0, None])
 def test_components(spark, small):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)] + [(500, x) for x in range(501, 560)]
@@ -206,7 +284,7 @@ def test_components(spark, small):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100, 500: 500, **{x: 500 for x in range(501, 560)}}
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
     page = "<p>" + "ö" * 80
     rows = [(1, "http://a/ü\r\nX: y", page, "f"), (2, None, page, "f"), (3, "u", "short", "f"), (4, "u", "short", "f"), (5, "u", None, "f"), (6, "u", "", "f"), (2, "u", page, "f"), (None, "u", page, "f"), (9, "u", "z" * 300_000, "f")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, file string")
@@ -218,6 +296,8 @@ def test_warc(spark, tmp_path):
     assert all(hashlib.sha256(r["payload"]).hexdigest() == r["payload_digest"] for r in got if r["payload"] is not None)
     again = warc.index_archives(spark, index.select("file").distinct())
     assert sorted(map(str, again.collect())) == sorted(map(str, index.collect()))
+    monkeypatch.setattr(warc, "STRETCH", 100)
+    assert warc.read_records(index).select(F.spark_partition_id()).distinct().count() > 2  # a large archive is read by many tasks
     picked = warc.read_records(index.filter("page_id = 9")).collect()
     assert [r["payload_bytes"] for r in picked] == [300_000]
     assert warc.read_records(warc.write_archives(df.limit(0), f"file://{tmp_path}/e")).count() == 0
@@ -278,6 +358,62 @@ def test_langid(spark, none):
     assert {r["lang_pred"] for r in langid.language(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_langid_mixtures_against_plain_em():
+    """Greedy growth of the language set by BIC, document by document; a fourth language is no special case."""
+    gen = np.random.default_rng(8)
+
+    def plain(like):
+        def em(allowed, steps):
+            part = np.where(allowed, 1.0, 0.0) / allowed.sum()
+            for _ in range(steps):
+                joint = like * part
+                part = (joint / joint.sum(axis=1, keepdims=True)).mean(axis=0)
+            return part, np.log((like * part).sum(axis=1)).sum()
+
+        full, best, out = em(np.ones(like.shape[1], bool), 10)[0], np.inf, None
+        order = np.argsort(-full, kind="stable")
+        for m in range(like.shape[1]):
+            part, total = em(np.isin(np.arange(like.shape[1]), order[: m + 1]), 10 if m else 1)
+            cost = -2 * total + m * np.log(len(like) + 1)
+            if cost >= best:
+                break
+            best, out = cost, part
+        return out
+
+    docs = []
+    for langs in ([0], [1, 2], [0, 1, 2, 3], [4], [0, 1, 2, 3, 4], [2, 3]):
+        like = np.full((60, 5), 0.01) + gen.random((60, 5)) / 50
+        like[np.arange(60), [langs[i % len(langs)] for i in range(60)]] = 1.0
+        docs.append(like)
+    got = langid.inferred(np.concatenate(docs), np.arange(6) * 60)
+    assert np.allclose(got, [plain(x) for x in docs], atol=1e-9)
+    assert ((got > 0).sum(axis=1) == [1, 2, 4, 1, 5, 2]).all()
+
+
+def test_langid_words_are_never_cut(monkeypatch):
+    table = np.random.default_rng(2).random((langid.TABLE, 3))
+    text = "Ab cd, efghijklmnopqrstuvwxyz 12 " + "q" * 50 + " x"
+    whole = langid.word_logs(text, table)
+    for chunk in (1, 3, 7, 20):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert np.allclose(langid.word_logs(text, table), whole)
+    assert len(whole) == 5
+
+
+def test_nearest_recall_at_the_defaults(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = {}
+    for r in ann.op10_nearest(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.select("vec_id", "embedding").collect()}
+    hits = total = 0
+    for q in (i for i in x if i % 20 == 0):
+        want = sorted((-float(np.dot(x[q], v)), i) for i, v in x.items() if i != q)[:20]
+        assert all(s == pytest.approx(float(np.dot(x[q], x[i])), abs=1e-12) for i, s in got[q].items())
+        hits, total = hits + len({i for _, i in want} & set(got[q])), total + 20
+    assert hits >= 0.9 * total
+
+
 def test_nearest(spark):
     gen = np.random.default_rng(3)
     x = gen.standard_normal((400, 8)).round(3)
