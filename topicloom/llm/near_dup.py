@@ -35,7 +35,7 @@ BANDS = SLOTS // ROWS
 #: A bucket, or a salted part of one, holds about this many classes at most.
 PART = 4096
 #: A task verifies about so many classes and shingles at once.
-BLOCK, WEIGHT = 1500, 2_000_000
+BLOCK, WEIGHT = 1000, 1_000_000
 #: Up to so many ids of documents with ties (16 bytes each) are broadcast to pick the texts that are needed.
 BROADCAST_IDS = 3_000_000
 
@@ -168,31 +168,32 @@ def families(classes: DataFrame) -> DataFrame:
     return components(every, "near-families")
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Adjacency of sets with 100 * intersection >= percent * union, exactly."""
+def linked(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each set, in turn, those with 100 * intersection >= percent * union, exactly; itself included."""
     n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
     if n == 2:
-        inter = np.zeros((2, 2), np.int64)
-        inter[0, 1] = inter[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        inter = np.array([[sizes[0], both], [both, sizes[1]]])
     else:
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
+        del order
         new = np.concatenate([[True], flat[1:] != flat[:-1]])
-        group = np.cumsum(new) - 1
-        often = (np.bincount(group) > 1)[group]
-        _, column = np.unique(group[often], return_inverse=True)
-        owner = owner[often]
-        step = max(1, 8_000_000 // n)
-        inter = np.zeros((n, n), np.float64)
-        for k in range(0, int(column.max()) + 1 if len(column) else 0, step):
+        often = ~(new & np.append(new[1:], True))  # shingles of two sets and more
+        column, owner = np.cumsum(new[often]) - 1, owner[often]
+        del flat, new, often
+        step = max(1, 4_000_000 // n)
+        inter = np.zeros((n, n), np.float32 if sizes.max() < 1 << 24 else np.float64)  # whole numbers, exactly
+        for k in range(0, int(column[-1]) + 1 if len(column) else 0, step):
             lo, hi = np.searchsorted(column, [k, k + step])
             m = np.zeros((n, step), np.float32)
             m[owner[lo:hi], column[lo:hi] - k] = 1
             inter += m @ m.T
-        inter = np.rint(inter).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - inter
-    return 100 * inter >= percent * union
+    for i in range(n):
+        own = inter[i].astype(np.int64)
+        own[i] = sizes[i]
+        yield i, np.flatnonzero(100 * own >= percent * (sizes[i] + sizes - own))
 
 
 def verified(k: int, percent: int):
@@ -222,8 +223,7 @@ def verified(k: int, percent: int):
         for held in groups():
             if len(held) > 1:
                 ids = sorted(held)
-                near = linked([held[i] for i in ids], percent)
-                edges, _ = forest(len(ids), ((i, np.flatnonzero(near[i])) for i in range(len(ids))))
+                edges, _ = forest(len(ids), linked([held[i] for i in ids], percent))
                 rows += [(ids[i], ids[j]) for i, j in edges]
                 if len(rows) > 5000:
                     yield out()
