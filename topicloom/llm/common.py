@@ -49,18 +49,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def source_of(docs: DataFrame) -> str:
-    """The path of ``docs`` if it is one plain Parquet table, else that of a written copy."""
+    """The path of ``docs`` if it is one whole Parquet table without partition columns, else that of a written copy."""
     spark = docs.sparkSession
-    files = docs.inputFiles()
-    for path in (files if len(files) == 1 else []) + [f.rpartition("/")[0] for f in files[:1]]:
-        if "=" in path.rpartition("/")[2]:
-            continue
-        try:
-            if spark.read.parquet(path).sameSemantics(docs):
-                return path
-        except Exception as e:  # a folder that holds other tables too has no one schema
-            if "UNABLE_TO_INFER" not in str(e) and "AnalysisException" not in type(e).__name__:
-                raise
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and (table := plan.relation()).getClass().getSimpleName() == "HadoopFsRelation":
+        roots = table.location().rootPaths()
+        if roots.size() == 1 and table.partitionSchema().isEmpty() and table.fileFormat().getClass().getSimpleName() == "ParquetFileFormat":
+            return roots.head().toString()
     docs.write.parquet(path := fresh(spark, "source"))
     return path
 
