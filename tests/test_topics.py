@@ -56,6 +56,11 @@ def test_metrics(spark):
     got = metrics.compute_metrics(docs, topics, rows)
     assert got["Purity"] == 0.75 and got["UMass"] == pytest.approx((math.log(1 / 2) + math.log(1 / 1)) / 2, abs=1e-4)
     assert math.isnan(metrics.compute_metrics(docs, topics.limit(1))["CV"])
+    assert math.isnan(got["F1"]) and math.isnan(metrics.compute_metrics(docs, topics, rows.withColumn("label", F.when(F.col("cluster") == 1, F.col("label"))))["NMI"])
+    side = [([0.9, 0.1], "a"), ([0.8, 0.2], "a"), ([0.1, 0.9], "b"), ([0.2, 0.8], "b")]
+    split = spark.createDataFrame(side, "probs array<double>, label string")
+    odd = spark.createDataFrame([*side, ([0.5, 0.5], "new")], "probs array<double>, label string")
+    assert metrics.compute_metrics(docs, topics, train=split, test=odd)["F1"] == 0.8
     assert "FAIL" in metrics.results_to_table({"d": {"m": None}})
 
 

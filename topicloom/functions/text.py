@@ -69,8 +69,7 @@ def bad_token(word: Column) -> Column:
 
 
 def without(tokens: Column, stops: tuple[str, ...]) -> Column:
-    held = F.array(*[F.lit(s) for s in stops])
-    return F.filter(tokens, lambda w: ~F.array_contains(held, w))
+    return F.filter(tokens, lambda w: ~w.isin(*stops))
 
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:
@@ -84,6 +83,12 @@ def _runs(tokens: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
+def stops_cut(text: Column, stops: tuple[str, ...], mark: str) -> Column:
+    """The lower-cased text with each stop word that no other word character touches replaced by ``mark``."""
+    every = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_]+)"), F.lit(1))
+    return F.array_join(F.transform(every, lambda w: F.when(w.isin(*stops), F.lit(mark)).otherwise(w)), "")
+
+
 def stop_pattern(stops: tuple[str, ...]) -> str:
     """A whole stop word, whatever its case; the longest first."""
     return r"(?iU)\b(?:" + "|".join(sorted(stops, key=lambda s: (-len(s), s))) + r")\b"
@@ -91,15 +96,13 @@ def stop_pattern(stops: tuple[str, ...]) -> str:
 
 def clean_phrase(phrase: Column, stops: tuple[str, ...] = PHRASE_STOPS) -> Column:
     """Some token is alphabetic, of two letters and more, and no stop word."""
-    held = F.array(*[F.lit(s) for s in stops])
-    return F.exists(F.split(F.lower(phrase), r"\s+"), lambda w: w.rlike(r"^\p{L}{2,}$") & ~F.array_contains(held, w))
+    return F.exists(F.split(F.lower(phrase), r"\s+"), lambda w: w.rlike(r"^\p{L}{2,}$") & ~w.isin(*stops))
 
 
 def all_stop(phrase: Column, stops: tuple[str, ...] = PHRASE_STOPS) -> Column:
     """Every token is a stop word or digits; true of nothing at all."""
-    held = F.array(*[F.lit(s) for s in stops])
     tokens = F.filter(F.split(F.lower(phrase), r"\s+"), lambda w: w != "")
-    return F.forall(tokens, lambda w: F.array_contains(held, w) | w.rlike(r"^[0-9]+$"))
+    return F.forall(tokens, lambda w: w.isin(*stops) | w.rlike(r"^[0-9]+$"))
 
 
 def sentences(text: Column, least: int = 15) -> Column:

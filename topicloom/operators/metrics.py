@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.ml.classification import LinearSVC, OneVsRest
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -223,22 +225,38 @@ def words_in_set(topics: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     return topics.groupBy("topic_id").agg(F.transform(hits, lambda x: x["word"]).alias("found"))
 
 
-def compute_metrics(docs: DataFrame, topics: DataFrame, clusters: DataFrame | None = None, topk: int = 10) -> dict[str, float]:
-    """All metrics by name, to four digits; NaN where there is nothing to measure.
+def indexed_f1(train: DataFrame, test: DataFrame) -> float:
+    """``svm_f1`` for labels of any kind; a label that ``train`` lacks is never hit."""
+    index = StringIndexer(inputCol="name", outputCol="y", handleInvalid="keep").fit(named := train.withColumn("name", F.col("label").cast("string")))
+    return svm_f1(index.transform(named), index.transform(test.withColumn("name", F.col("label").cast("string"))), label="y")
 
-    ``docs`` (doc_id, tokens), ``topics`` (topic_id, rank, word), ``clusters`` (cluster, label).
+
+def compute_metrics(docs: DataFrame, topics: DataFrame, clusters: DataFrame | None = None, topk: int = 10, train: DataFrame | None = None, test: DataFrame | None = None) -> dict[str, float]:
+    """All metrics by name, to four digits; NaN where there is nothing to measure or the measure fails.
+
+    ``docs`` (doc_id, tokens), ``topics`` (topic_id, rank, word), ``clusters`` (cluster, label), ``train`` and
+    ``test`` (probs, label). NMI and purity ask for as many labels as clusters, F1 for both splits.
     """
-    names = ("CV", "NPMI", "UCI", "UMass", "TD", "IRBO", "NMI", "Purity")
+    names = ("CV", "NPMI", "UCI", "UMass", "TD", "IRBO", "NMI", "Purity", "F1")
     out = dict.fromkeys(names, math.nan)
     cut = clean_topics(topics, topk)
     k = effective_k(cut, topk)
     if k >= 2:
         cut = cut.filter(F.col("rank") <= k).persist()
         plans = {"CV": c_v(docs, cut), "NPMI": npmi(docs, cut), "UCI": uci(docs, cut), "UMass": umass(docs, cut), "TD": topic_diversity(cut), "IRBO": irbo(cut)}
-        if clusters is not None and not clusters.isEmpty():
-            plans |= {"NMI": nmi(clusters), "Purity": purity(clusters)}
-        for name, plan in plans.items():
-            got = plan.first()[0]
+        measures = {name: (lambda plan=plan: plan.first()[0]) for name, plan in plans.items()}
+        if clusters is not None:
+            n_clusters, n_labels = clusters.agg(F.count("cluster"), F.count("label")).first()
+            if n_clusters == n_labels > 0:
+                measures |= {"NMI": lambda: nmi(clusters).first()[0], "Purity": lambda: purity(clusters).first()[0]}
+        if train is not None and test is not None:
+            measures["F1"] = lambda: indexed_f1(train, test)
+        for name, measure in measures.items():
+            try:
+                got = measure()
+            except Exception as e:  # noqa: BLE001  one measure that fails leaves the others
+                logging.getLogger(__name__).warning("%s failed: %s", name, e)
+                got = None
             out[name] = math.nan if got is None else round(got, 4)
     return out
 

@@ -178,6 +178,13 @@ ORACLE = {
     "fixed_window": _chunks(_split(_SENT)),
     "post_group": _chunks("SELECT conv_id AS k0, turn AS k1, 0 AS pos, coalesce(text, '') AS piece FROM conversations"),
     "rake_phrases": f"WITH {_RAKE} SELECT doc_id, rank, phrase, score FROM rake",
+    "gsc_candidates": rf"""WITH m AS (SELECT doc_id, string_split(array_to_string(list_transform(regexp_extract_all(lower(text), '{_W}+|[^\p{{L}}\p{{N}}\p{{M}}_]+'),
+            lambda x: CASE WHEN list_contains({_list(T.PHRASE_STOPS)}, x) THEN chr(1) ELSE x END), ''), chr(1)) AS xs FROM documents),
+        r AS (SELECT doc_id, unnest(range(len(xs))) AS k, unnest(xs) AS part FROM m),
+        w AS (SELECT doc_id, k, regexp_extract_all(part, '[a-z]{{2,}}') AS ws FROM r),
+        g AS (SELECT doc_id, k, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(ws) >= n),
+        p AS (SELECT doc_id, array_to_string(ws[i:i + n - 1], ' ') AS phrase, min((k, n, i)) AS pos FROM g GROUP BY 1, 2)
+        SELECT doc_id, count(*) AS n, md5(string_agg(phrase, '|' ORDER BY pos)) AS phrases_md5 FROM p WHERE {_CLEAN} GROUP BY 1""",
     "phrase_doc_freq": f"WITH {_RAKE} SELECT phrase, count(DISTINCT doc_id) AS df FROM rake GROUP BY 1",
     "anchor_pool": f"""WITH {_RAKE}, df AS (SELECT phrase, count(DISTINCT doc_id) AS df FROM rake GROUP BY 1)
         SELECT phrase, df, row_number() OVER (ORDER BY df DESC, phrase) AS rank FROM df WHERE df BETWEEN 2 AND floor(0.4 * (SELECT count(*) FROM documents))""",

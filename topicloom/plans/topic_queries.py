@@ -9,6 +9,7 @@ from ..functions.vec import doubles, unit
 from ..operators import anchors, baselines, metrics, mixture, model, project, sample
 from ..sources.text import labelled, one_category
 from ..streaming.score import score_stream
+from .text_queries import _STOP
 
 DIM = 64
 
@@ -382,6 +383,12 @@ ORACLE = {
     "head_docs": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 500",
     "stratified_split": f"WITH {_SPLIT.format(label='lang', key='doc_id', table='documents')} SELECT doc_id, lang, split FROM split",
     "three_way_split": "SELECT doc_id, CASE WHEN h < 0.85 THEN 'train' WHEN h < 0.925 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS h FROM documents)",
+    "tfidf_features": f"""WITH {_SPLIT.format(label='lang', key='doc_id', table='documents')}, t AS (SELECT doc_id, split, unnest({_STOP}) AS phrase FROM split),
+        tf AS (SELECT doc_id, split, phrase, count(*) AS c FROM t GROUP BY 1, 2, 3), n AS (SELECT count(*)::DOUBLE AS n FROM split WHERE split = 'train'),
+        df AS (SELECT phrase, count(*) AS df FROM tf, n WHERE split = 'train' GROUP BY phrase, n HAVING count(*) BETWEEN 3 AND 0.95 * n),
+        w AS (SELECT doc_id, phrase, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (phrase), n),
+        v AS (SELECT phrase, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)
+        SELECT phrase, count(*) AS n, round(sum(weight), 6) AS weight FROM v GROUP BY 1""",
     "knn_cosine": f"""WITH {_SPLIT.format(label='label', key='vec_id', table='embeddings')}, v AS (SELECT vec_id, label, split, embedding::DOUBLE[] AS x FROM split),
         s AS (SELECT q.vec_id, q.label, r.label AS cls, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.x, r.x), 9) DESC, r.vec_id) AS n FROM v q JOIN v r ON q.split = 'test' AND r.split = 'train'),
         c AS (SELECT vec_id, label, cls, count(*) AS n FROM s WHERE n <= 5 GROUP BY 1, 2, 3)
