@@ -30,7 +30,7 @@ TOKENIZER = "word_bpe_49k.json"
 FILLS = (0.98, 0.9, 0.8, 0.65, 0.5)
 FAN_IN = 8
 #: Words that a Python worker remembers at most, some 150 bytes each.
-WORDS = 600_000
+WORDS = 800_000
 #: Marks that the tokenizer parts from the letters before them.
 MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 #: Letters that neither composition nor lower-casing turns into more than a letter.
@@ -90,7 +90,8 @@ class WordEncoder:
         self.put(words, np.array([x for own in ids for x in own], self.flat.dtype), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def shrink(self) -> None:
-        """Forget words that were not met again; of the others, those learned first stay, half the bound at most."""
+        """Forget words that were not met again since the memory was half full; of the others, those learned first
+        stay, half the bound at most."""
         keep = np.flatnonzero(self.again[: len(self.index)])[: self.most // 2]
         words = list(self.index)
         held, ids, sizes = [words[i] for i in keep.tolist()], self.gather(keep), self.size[keep]
@@ -137,7 +138,8 @@ class WordEncoder:
             return np.zeros(0, np.uint32)
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
-        self.again[at[at >= 0]] = True
+        if len(self.index) > self.most // 2:
+            self.again[at[at >= 0]] = True
         if len(missing):
             if len(self.index) > self.most or self.used > 20 * self.most:
                 self.shrink()
