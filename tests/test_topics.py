@@ -64,6 +64,20 @@ def test_metrics(spark):
     assert "FAIL" in metrics.results_to_table({"d": {"m": None}})
 
 
+@pytest.mark.parametrize("width", [1, 3, 10, 200])
+def test_window_probabilities_by_brute_force(spark, width):
+    rng = np.random.default_rng(width)
+    texts = [[f"w{x}" for x in rng.integers(0, 12, n)] for n in (0, 1, 2, 9, 60, 150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, tokens array<string>")
+    topics = spark.createDataFrame([(0, 1, "w0"), (0, 2, "w1"), (0, 3, "w2"), (1, 1, "w1"), (1, 2, "w9"), (1, 3, "never")], "topic_id int, rank int, word string")
+    wins = [set(t[i : i + width]) for t in texts for i in range(max(1, len(t) - width + 1))]
+    share = lambda *ws: sum(all(w in x for w in ws) for x in wins) / len(wins)
+    single, joint = metrics.probabilities(docs, topics, width)
+    assert {r["word"]: r["p"] for r in single.collect()} == pytest.approx({w: share(w) for w in ("w0", "w1", "w2", "w9")})
+    pairs = [("w0", "w1"), ("w0", "w2"), ("w1", "w2"), ("w1", "w9"), ("never", "w1"), ("never", "w9")]
+    assert {(r["a"], r["b"]): r["p"] for r in joint.collect()} == pytest.approx({p: share(*p) for p in pairs})
+
+
 def test_samples(spark):
     rows = spark.createDataFrame([(i, f"c{i % 3}") for i in range(30)], "doc_id long, label string")
     assert sample.balanced_sample(rows, 2).count() == 3

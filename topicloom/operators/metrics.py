@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import cosine
+from .shared import table
 
 EPS = 1e-12
 
@@ -41,32 +42,44 @@ def word_pairs(topics: DataFrame) -> DataFrame:
 
 
 def windowed(docs: DataFrame, topics: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Topic words by boolean sliding window, and the number of windows.
+    """Stretches of sliding windows that hold the same topic words (``n, words``), and the number of windows.
 
-    ``docs`` is (doc_id, tokens). A document of L tokens has max(1, L - width + 1) windows; only topic words
-    are spread over the windows they are in, and each counts once per window.
+    ``docs`` is (doc_id, tokens). A document of L tokens has max(1, L - width + 1) windows. A topic word is in
+    a range of windows; ranges are cut at every ``width`` windows, so that a cut lies in two blocks at most, and
+    the ranges' ends split a block into stretches. No row is made for a single window.
     """
     size = F.size("tokens")
     total = docs.agg(F.sum(F.greatest(F.lit(1), size - width + 1)).cast("double").alias("n"))
     tokens = docs.select("doc_id", size.alias("len"), F.posexplode("tokens").alias("pos", "word"))
-    tokens = tokens.join(F.broadcast(topics.select("word").distinct()), "word", "left_semi")
+    tokens = tokens.join(topics.select("word").distinct(), "word", "left_semi")
     low, high = F.greatest(F.lit(0), F.col("pos") - (width - 1)), F.least(F.col("pos"), F.greatest(F.lit(0), F.col("len") - width))
-    return tokens.select("doc_id", "word", F.explode(F.sequence(low, high)).alias("win")).distinct(), total
+    ranges = tokens.select("doc_id", "word", low.alias("low"), high.alias("high"))
+    block = lambda c: F.floor(F.col(c) / width)
+    cuts = ranges.select("doc_id", "word", "low", "high", F.explode(F.sequence(block("low"), block("high"))).alias("block"))
+    cut = F.struct(F.greatest("low", F.col("block") * width).alias("low"), (F.least("high", (F.col("block") + 1) * width - 1) + 1).alias("end"), "word")
+    held = cuts.groupBy("doc_id", "block").agg(F.collect_list(cut).alias("cuts"))
+    held = held.withColumn("ends", F.array_sort(F.array_union(F.col("cuts.low"), F.col("cuts.end"))))
+    stretch = held.select("cuts", F.explode(F.arrays_zip(F.col("ends").alias("a"), F.slice("ends", 2, width + 1).alias("b"))).alias("s")).filter("s.b IS NOT NULL")
+    inside = F.filter("cuts", lambda c: (c["low"] <= F.col("s.a")) & (F.col("s.b") <= c["end"]))
+    words = F.array_distinct(F.transform(inside, lambda c: c["word"]))
+    return stretch.select((F.col("s.b") - F.col("s.a")).alias("n"), words.alias("words")).filter(F.size("words") > 0), total
 
 
 def probabilities(docs: DataFrame, topics: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """p(word) and p(wi, wj) over windows, for words and pairs of the topics (pairs unordered: wi < wj)."""
     wins, total = windowed(docs, topics, width)
-    single = wins.groupBy("word").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(total)).select("word", (F.col("c") / F.col("n")).alias("p"))
+    wins = table(wins.groupBy(F.array_sort("words").alias("words")).agg(F.sum("n").alias("n")), "windows")  # sets of topic words: few, read twice
+    share = (F.col("c") / F.col("n")).alias("p")
+    single = wins.select("n", F.explode("words").alias("word")).groupBy("word").agg(F.sum("n").alias("c")).crossJoin(F.broadcast(total)).select("word", share)
     pairs = word_pairs(topics).select(F.least("wi", "wj").alias("a"), F.greatest("wi", "wj").alias("b")).distinct()
-    sets = wins.groupBy("doc_id", "win").agg(F.collect_set("word").alias("ws")).filter(F.size("ws") > 1)  # a window holds few topic words
-    met = sets.select("ws", F.explode("ws").alias("a")).select("a", F.explode("ws").alias("b")).filter("a < b")
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(total))
-    joint = pairs.join(met, ["a", "b"], "left").select("a", "b", F.coalesce(F.col("c") / F.col("n"), F.lit(0.0)).alias("p"))
+    met = wins.filter(F.size("words") > 1).select("n", "words", F.explode("words").alias("a")).select("n", "a", F.explode("words").alias("b")).filter("a < b")
+    met = met.groupBy("a", "b").agg(F.sum("n").alias("c")).crossJoin(F.broadcast(total))
+    joint = pairs.join(met, ["a", "b"], "left").select("a", "b", F.coalesce(share, F.lit(0.0)).alias("p"))
     return single, joint
 
 
 def _pair_scores(docs: DataFrame, topics: DataFrame, width: int) -> DataFrame:
+    topics = table(topics, "topics")
     single, joint = probabilities(docs, topics, width)
     pairs = word_pairs(topics).withColumn("a", F.least("wi", "wj")).withColumn("b", F.greatest("wi", "wj"))
     met = pairs.join(joint, ["a", "b"]).join(single.select(F.col("word").alias("wi"), F.col("p").alias("pi")), "wi").join(single.select(F.col("word").alias("wj"), F.col("p").alias("pj")), "wj")
@@ -88,7 +101,8 @@ def uci(docs: DataFrame, topics: DataFrame, width: int = 10) -> DataFrame:
 
 def umass(docs: DataFrame, topics: DataFrame) -> DataFrame:
     """Mean of ln((D(wi, wj) + eps) / D(wj)) over pairs, wi ranked after wj, then over topics."""
-    held = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).join(F.broadcast(topics.select("word").distinct()), "word", "left_semi")
+    topics = table(topics, "topics")
+    held = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).join(topics.select("word").distinct(), "word", "left_semi")
     single = held.groupBy("word").agg(F.count(F.lit(1)).alias("d"))
     sets = held.groupBy("doc_id").agg(F.collect_set("word").alias("ws"))
     met = sets.select("ws", F.explode("ws").alias("wi")).select("wi", F.explode("ws").alias("wj")).groupBy("wi", "wj").agg(F.count(F.lit(1)).alias("c"))
@@ -98,6 +112,7 @@ def umass(docs: DataFrame, topics: DataFrame) -> DataFrame:
 
 def c_v(docs: DataFrame, topics: DataFrame, width: int = 110) -> DataFrame:
     """Per topic word the NPMI vector over all topic words; mean cosine to the topic's summed vector."""
+    topics = table(topics, "topics")
     single, joint = probabilities(docs, topics, width)
     both = joint.select("a", "b", "p").unionByName(joint.select(F.col("b").alias("a"), F.col("a").alias("b"), "p")).unionByName(single.select(F.col("word").alias("a"), F.col("word").alias("b"), "p"))
     mine, other = topics.select("topic_id", F.col("word").alias("a")), topics.select("topic_id", F.col("word").alias("b"))
@@ -168,7 +183,7 @@ def with_outliers(rows: DataFrame, cluster: str = "cluster", rule: str = "drop")
 def compact_ids(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Cluster ids mapped, in order, to 0, 1, 2, ...; the few ids are ranked, not the rows."""
     ids = rows.select(cluster).distinct().withColumn("compact", F.dense_rank().over(Window.orderBy(cluster)) - 1)
-    return rows.join(F.broadcast(ids), cluster)
+    return rows.join(ids, cluster)
 
 
 def semantic_coherence(words: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def gsc_candidates(s, d):  # noqa: ANN001, ANN201
 
 
 def gsc_phrases(s, d):  # noqa: ANN001, ANN201
-    return _rank(keyphrase.gsc(_docs(s, d), n=5))
+    return _rank(keyphrase.gsc(_docs(s, d)))
 
 
 def phrase_doc_freq(s, d):  # noqa: ANN001, ANN201

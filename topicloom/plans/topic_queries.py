@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vec import doubles, unit
 from ..operators import anchors, baselines, metrics, mixture, model, project, sample
-from ..sources.text import labelled, one_category
+from ..operators.shared import shared_dir
+from ..sources.text import corpus_tsv, csv_texts, labelled, one_category, text_files
 from ..streaming.score import score_stream
-from .text_queries import _STOP
+from .text_queries import _DIM, _SIGN, _STOP
 
 DIM = 64
 
@@ -75,7 +79,7 @@ def topic_words(s, d):  # noqa: ANN001, ANN201
 
 def mmr_words(s, d):  # noqa: ANN001, ANN201
     v = _vectors(s, d)
-    return _r(project.mmr_words(v, _centroids(v), key="vec_id", max_sim=0.3, most=8), "sim")
+    return _r(project.mmr_words(v, _centroids(v), key="vec_id", max_sim=0.3), "sim")
 
 
 def doc_topic_softmax(s, d):  # noqa: ANN001, ANN201
@@ -258,6 +262,51 @@ def stream_scores(s, d):  # noqa: ANN001, ANN201
     return _r(score_stream(s.read.parquet(f"{d}/benchmark.parquet"), topics.select("topic_id", unit(F.col("v")).alias("centroid")), key="item_id"), "prob")
 
 
+def _placed_model() -> model.TopicModel:
+    """A model whose three topics are fixed directions, as if loaded."""
+    m = model.TopicModel(n_topics=3)
+    means = np.array([[float(i % 3 == k) for i in range(DIM)] for k in range(3)])
+    m._clusterer = mixture.GMMTopicClusterer(3, weights_=np.full(3, 1 / 3), means_=means, covariances_=np.stack([np.eye(DIM)] * 3))
+    return m
+
+
+def transform_documents(s, d):  # noqa: ANN001, ANN201
+    return _r(_placed_model().transform(s.read.parquet(f"{d}/documents.parquet")), "prob")
+
+
+def get_topic_words(s, d):  # noqa: ANN001, ANN201
+    v, m = _vectors(s, d), model.TopicModel()
+    m.topics_ = project.topic_words(v, _centroids(v), key="vec_id").withColumnRenamed("vec_id", "word")
+    return _r(m.get_topic_words(3, 10), "sim")
+
+
+def get_document_topics(s, d):  # noqa: ANN001, ANN201
+    m = model.TopicModel()
+    m.doc_topic_probs_ = _probs(s, d).withColumnRenamed("vec_id", "doc_id")
+    return _r(s.createDataFrame(list(m.get_document_topics(5).items()), "topic_id int, prob double"), "prob")
+
+
+def csv_round_trip(s, d):  # noqa: ANN001, ANN201
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("content"))
+    path = f"{shared_dir(s)}/csv-{uuid.uuid4().hex}"
+    docs.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return csv_texts(s, path).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("content").alias("text_md5"))
+
+
+def tsv_round_trip(s, d):  # noqa: ANN001, ANN201
+    docs = sample.three_way_split(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"))
+    path = f"{shared_dir(s)}/tsv-{uuid.uuid4().hex}"
+    docs.select(F.concat_ws("\t", F.regexp_replace("text", r"[\t\r\n]+", " "), "split", "lang")).write.text(path)
+    return corpus_tsv(s, path).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.md5("text")).alias("first_md5"), F.sum(F.length("text")).alias("chars"))
+
+
+def files_round_trip(s, d):  # noqa: ANN001, ANN201
+    path = f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+    s.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(path)
+    out = text_files(s, f"{path}/item_id=*/*.txt")
+    return out.select("doc_id", F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), F.md5("text").alias("text_md5"))
+
+
 def labelled_union(s, d):  # noqa: ANN001, ANN201
     docs = s.read.parquet(f"{d}/documents.parquet").join(s.read.parquet(f"{d}/labels.parquet"), "doc_id").select("text", F.col("quality").alias("label"))
     out = labelled(docs, docs.limit(0), ("low", "high"))
@@ -274,7 +323,8 @@ QUERIES = {
     for f in (normalized, word_topic_cosine, topic_words, mmr_words, doc_topic_softmax, dominant_topic, topic_counts, docs_over_threshold, anchor_dedup, anchor_dedup_rounds)
     + (purity, nmi, ari, confusion, class_f1, accuracy_macro_f1, alignment_table, compact_ids, outliers_extra, semantic_coherence, topic_list, topic_diversity, irbo, npmi, uci, umass, c_v)
     + (words_in_set, corpus_stats, balanced_sample, random_sample, head_docs, stratified_split, three_way_split, tfidf_features, knn_cosine, logistic_baseline, svm_baseline)
-    + (lda_topics, nmf_topics, gmm_posteriors, fit_topics, transform_benchmark, stream_scores, labelled_union, one_of_categories)
+    + (lda_topics, nmf_topics, gmm_posteriors, fit_topics, transform_benchmark, stream_scores, transform_documents, get_topic_words, get_document_topics)
+    + (csv_round_trip, tsv_round_trip, files_round_trip, labelled_union, one_of_categories)
 }
 
 _V = """e AS (SELECT vec_id, label, d, v[d]::DOUBLE AS v FROM (SELECT vec_id, label, embedding AS v, unnest(range(1, 65)) AS d FROM embeddings)),
@@ -308,6 +358,17 @@ def _windows(width: int) -> str:
 
 
 _SPLIT = "split AS (SELECT *, CASE WHEN percent_rank() OVER (PARTITION BY {label} ORDER BY md5('42:' || {key}), {key}) < 0.2 THEN 'test' ELSE 'train' END AS split FROM {table})"
+def _placed(table: str, key: str) -> str:
+    """Scores of hashed texts against three fixed directions."""
+    return f"""WITH w AS (SELECT {key} AS k, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM {table}),
+        hs AS (SELECT k, {_DIM} AS b, sum({_SIGN})::DOUBLE AS s FROM w WHERE w <> '' GROUP BY 1, 2),
+        hn AS (SELECT k, sqrt(sum(s * s)) AS n FROM hs GROUP BY 1),
+        c AS (SELECT i AS b, i % 3 AS topic_id, 1 / sqrt(count(*) OVER (PARTITION BY i % 3)) AS c FROM range(64) r(i)),
+        dot AS (SELECT k, topic_id, sum(s / n * c) AS s FROM hs JOIN hn USING (k) JOIN c USING (b) WHERE n > 0 GROUP BY 1, 2),
+        sim AS (SELECT {key} AS k, t.topic_id, coalesce(s, 0.0) AS s FROM {table} CROSS JOIN (SELECT unnest(range(3)) AS topic_id) t LEFT JOIN dot ON dot.k = {key} AND dot.topic_id = t.topic_id)
+        SELECT k AS {key}, topic_id, round(exp(s) / sum(exp(s)) OVER (PARTITION BY k), 6) AS prob FROM sim"""
+
+
 _MMR_SIM = "(SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)"
 _F1 = """cls AS (SELECT l.label, coalesce(tp, 0) AS tp, coalesce(said, 0) AS said, support FROM (SELECT label, count(*) AS support FROM a GROUP BY 1) l
         LEFT JOIN (SELECT label, count(*) AS tp FROM a WHERE label = pred GROUP BY 1) USING (label) LEFT JOIN (SELECT pred AS label, count(*) AS said FROM a GROUP BY 1) USING (label)),
@@ -332,7 +393,7 @@ ORACLE = {
               UNION ALL SELECT topic_id, step + 1, list_append(chosen, vec_id) FROM (
                 SELECT w.topic_id, step, chosen, p.vec_id, row_number() OVER (PARTITION BY w.topic_id ORDER BY round(0.8 * p.rel - 0.2 * max(pw.s), 9) DESC, p.rank) AS best
                 FROM w JOIN pool p ON p.topic_id = w.topic_id AND NOT list_contains(chosen, p.vec_id) JOIN pw ON pw.topic_id = w.topic_id AND pw.i = p.vec_id AND list_contains(chosen, pw.j)
-                WHERE step < 8 GROUP BY w.topic_id, step, chosen, p.vec_id, p.rel, p.rank HAVING max(pw.s) < 0.3) WHERE best = 1),
+                WHERE step < 50 GROUP BY w.topic_id, step, chosen, p.vec_id, p.rel, p.rank HAVING max(pw.s) < 0.3) WHERE best = 1),
         f AS (SELECT topic_id, chosen FROM w QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY step DESC) = 1),
         o AS (SELECT topic_id, unnest(range(1, len(chosen) + 1)) AS rank, unnest(chosen) AS vec_id FROM f)
         SELECT o.topic_id::BIGINT AS topic_id, o.rank, o.vec_id, round(sim, 6) AS sim FROM o JOIN sim USING (topic_id, vec_id)""",
@@ -393,6 +454,14 @@ ORACLE = {
         s AS (SELECT q.vec_id, q.label, r.label AS cls, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.x, r.x), 9) DESC, r.vec_id) AS n FROM v q JOIN v r ON q.split = 'test' AND r.split = 'train'),
         c AS (SELECT vec_id, label, cls, count(*) AS n FROM s WHERE n <= 5 GROUP BY 1, 2, 3)
         SELECT vec_id, label::BIGINT AS label, cls::BIGINT AS pred FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, cls) = 1""",
+    "stream_scores": _placed("benchmark", "item_id"),
+    "transform_documents": _placed("documents", "doc_id"),
+    "get_topic_words": f"WITH {_TW} SELECT rank, vec_id AS word, round(sim, 6) AS sim FROM tw WHERE topic_id = 3 AND rank <= 10",
+    "get_document_topics": f"WITH {_P} SELECT topic_id::BIGINT AS topic_id, round(prob, 6) AS prob FROM p WHERE vec_id = 5",
+    "csv_round_trip": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text <> ''",
+    "tsv_round_trip": r"""WITH s AS (SELECT regexp_replace(text, '[\t\r\n]+', ' ', 'g') AS text, lang, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS h FROM documents)
+        SELECT CASE WHEN h < 0.85 THEN 'train' WHEN h < 0.925 THEN 'val' ELSE 'test' END AS split, lang AS label, count(*) AS n, min(md5(text)) AS first_md5, sum(length(text))::BIGINT AS chars FROM s GROUP BY 1, 2""",
+    "files_round_trip": "SELECT row_number() OVER (ORDER BY item_id::VARCHAR || '/') - 1 AS doc_id, item_id, md5(text || chr(10)) AS text_md5 FROM benchmark",
     "labelled_union": r"""SELECT CASE quality WHEN 0 THEN 'low' ELSE 'high' END AS label, count(*) AS n, sum(length(t))::BIGINT AS chars
         FROM (SELECT quality, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS t FROM documents JOIN labels USING (doc_id)) WHERE t <> '' GROUP BY 1""",
     "one_of_categories": "SELECT label, count(*) AS n FROM (SELECT CASE WHEN lang IN ('en', 'fr') THEN lang ELSE source END AS label FROM documents WHERE (lang IN ('en', 'fr')) <> (source IN ('src1', 'src2'))) GROUP BY 1",
