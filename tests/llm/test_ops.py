@@ -269,6 +269,18 @@ def test_stages_on_empty_and_odd_tables(spark, docs, none, stage):
     assert got.count() > 0 and (stage is packing.stage or got.columns == odd.columns)
 
 
+def test_mixing_splits_crowded_buckets(spark):
+    rows = [(None if i % 3 else i, "w " * (1 + i % 4), "ab"[i % 2] if i % 7 else None) for i in range(3000)]
+    rows += [(7, "x y", "a")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {}
+    for size in (5, 40, 500_000):
+        found = mixing.mix(docs, per_bucket=size).drop("positions").collect()
+        got[size] = sorted(map(tuple, found), key=repr)
+    assert len(got[5]) == len(rows)
+    assert got[5] == got[40] == got[500_000]
+
+
 def test_mix_stage_takes_equal_rows_apart(spark):
     rows = [(1, "a b c d", None, "s", 7)] * 3 + [(2, prose(8), None, "t", 9)]
     got = mixing.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")

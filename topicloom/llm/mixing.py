@@ -12,7 +12,9 @@ documents range-sorted by that time.
 
 Running sums never need one task per source: documents fall into hash buckets, (source, bucket) sums are
 combined before their shuffle, and the sums within a bucket are taken where the bucket lies. A hot source
-so spreads over all buckets.
+so spreads over all buckets, whose number grows with the table. Rows that share an id (or have none) share a
+bucket; a crowded one is split further by id and size, and rows alike in both, which can stand in any order,
+are salted.
 """
 
 from __future__ import annotations
@@ -26,6 +28,11 @@ from .common import located, settle, source_of, word_count
 #: are 5, 2 and 1: the heaviest sources lead early in training and the light ones late.
 SCHEDULES = (((0.0, 7.5), (1.0, 2.5)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
 
+#: Rows that a bucket of one source is meant to hold; one of more than twice as many is split.
+PER_BUCKET = 500_000
+#: Up to so many crowded buckets or groups of rows alike are broadcast; each stands for ``PER_BUCKET`` rows and more.
+BROADCAST_CROWDS = 100_000
+
 
 def integral(knots: tuple[tuple[float, float], ...]) -> float:
     return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False))
@@ -75,6 +82,29 @@ def targets(sizes: DataFrame, schedules: tuple, repeats: int, share: float = 1.0
     )
 
 
+def slotted(sized: DataFrame, sums: DataFrame, per_bucket: int) -> DataFrame | None:
+    """``sized`` with a ``slot`` that splits crowded buckets in the order of their rows, empty elsewhere; None if none is crowded."""
+
+    def met(rows: DataFrame, few: DataFrame) -> DataFrame:
+        few = settle(few, "mix-crowds")
+        few = few.withColumnsRenamed({"source": "s", "bucket": "b", "slot": "t"})
+        on = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))
+        on = on & (F.col("slot") == F.col("t")) if "t" in few.columns else on
+        return rows.join(F.broadcast(few) if few.count() <= BROADCAST_CROWDS else few, on, "left").drop("s", "b", "t")
+
+    crowded = sums.filter(F.col("rows") > 2 * per_bucket)
+    if crowded.isEmpty():
+        return None
+    alike = F.concat_ws(":", "key", F.col("id").isNull().cast("int"), F.lpad(F.col("size").cast("string"), 20, "0"))
+    rows = met(sized, crowded.select("source", "bucket", F.lit(True).alias("crowded")))
+    rows = rows.withColumn("slot", F.when(F.col("crowded"), alike).otherwise(""))
+    many = rows.filter("crowded").groupBy("source", "bucket", "slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > per_bucket)
+    rows = met(rows, many.select("source", "bucket", "slot", F.ceil(F.col("n") / per_bucket).alias("parts")))
+    salt = F.lpad(F.pmod(F.xxhash64("row"), F.col("parts")).cast("string"), 20, "0")
+    slot = F.when(F.col("parts").isNotNull(), F.concat_ws(":", "slot", salt)).otherwise(F.col("slot"))
+    return settle(rows.withColumn("slot", slot).drop("crowded", "parts"), "mix-slots")
+
+
 def mix(
     docs: DataFrame,
     schedules: tuple = SCHEDULES,
@@ -82,7 +112,7 @@ def mix(
     share: float = 1.0,
     whole: bool = False,
     seed: str = "mix",
-    digits: int = 3,
+    per_bucket: int = PER_BUCKET,
     row_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
@@ -95,23 +125,33 @@ def mix(
     document on the edge is taken in part; with ``whole`` it is taken wholly if at least half of it is due,
     so that ``taken`` is ``copies`` times the size. ``positions`` are the training times of the copies,
     ``position`` the first (null if none). A null or blank text has size 0 and is not taken; null ids are
-    ordered like an empty id; repeated rows count each; an empty table gives no rows. ``digits`` hex
-    digits name the buckets of a source. ``order`` names a column whose hash orders documents in place of
+    ordered like an empty id; repeated rows count each; an empty table gives no rows. A task orders
+    about ``per_bucket`` rows, or twice as many. ``order`` names a column whose hash orders documents in place of
     the id's. Only the columns named are read.
     """
     key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col(order or row_id).cast("string"), F.lit(""))))
-    sized = settle(docs.select(F.col(row_id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key")), "mix-sizes")
+    row = F.xxhash64(row_id) if order else F.monotonically_increasing_id()
+    sized = docs.select(F.col(row_id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"), row.alias("row"))
+    sized = settle(sized, "mix-sizes")
+    digits, n = 3, sized.count()
+    while 16**digits * per_bucket < n:
+        digits += 1
     sized = sized.withColumn("bucket", F.substring("key", 1, digits))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    sums = settle(sums, "mix-sums")
+    sums = settle(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"), F.count(F.lit(1)).alias("rows")), "mix-sums")
+    split = slotted(sized, sums, per_bucket)
+    if split is None:
+        sized, sums = (t.withColumn("slot", F.lit("")) for t in (sized, sums))
+    else:
+        sized = split
+        sums = settle(sized.groupBy("source", "bucket", "slot").agg(F.sum("size").alias("bucket_size")), "mix-sums")
     goal = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), schedules, repeats, share)
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("bucket", "slot").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
-    goal = sums.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "bucket", "base", "source_size", "target", "schedule")
-    goal = settle(goal.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base", "source_size", "target", "schedule"), "mix-goal")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    goal = sums.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "bucket", "slot", "base", "source_size", "target", "schedule")
+    goal = settle(goal.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("slot").alias("t"), "base", "source_size", "target", "schedule"), "mix-goal")
+    inside = Window.partitionBy("source", "bucket", "slot").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(goal, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("base") + F.col("inner"))
+    placed = placed.join(goal, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("slot") == F.col("t"))).withColumn("start", F.col("base") + F.col("inner"))
     asked = F.floor("target")
     passes = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: F.col("start") + k * F.col("source_size"))
     got = F.transform(passes, lambda s: F.struct(s.alias("s"), F.least(F.greatest(asked - s, F.lit(0)), F.col("size")).alias("n")))
