@@ -133,6 +133,17 @@ def test_sources(spark, tmp_path):
         sources.load_dataset(spark, "none", "")
 
 
+def test_one_of_categories_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    names = ("en", "fr", "EN", "de", "o'en", 'a"b', "src1", None, "")
+    rows = [(t, a, b) for t in ("x", "", " \n", None) for a in names for b in (*names, "src2", "SRC1")]
+    spark.createDataFrame(rows, "text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in topic_queries.one_of_categories(spark, f"file://{tmp_path}").collect())
+    documents = duckdb.sql(f"SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")  # noqa: F841  named in the SQL
+    assert got == sorted(duckdb.sql(topic_queries.ORACLE["one_of_categories"]).fetchall()) and len(got) == 4
+
+
 def test_model_and_stream(spark, tmp_path):
     texts = [f"report on {w} rivers. report about {w} weather and {w} harvest season" for w in ("amber", "birch", "cedar", "dune", "ember") for _ in range(3)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -46,12 +46,12 @@ def topic_list(topics: Column) -> Column:
     return F.coalesce(F.from_json(F.replace(topics, F.lit("'"), F.lit('"')), "array<string>"), F.array().cast("array<string>"))
 
 
-def one_category(rows: DataFrame, text: str = "text", topics: str = "topics", wanted: tuple[str, ...] = R8) -> DataFrame:
-    """Rows with exactly one of the wanted categories (and any others): text, label."""
+def one_category(rows: DataFrame, text: str = "text", topics: str = "topics", wanted: tuple[str, ...] = R8, blank: bool = False) -> DataFrame:
+    """Rows with exactly one of the wanted categories (and any others): text, label. Blank texts are dropped unless ``blank``."""
     lists = F.col(topics) if rows.schema[topics].dataType.typeName() == "array" else topic_list(F.coalesce(F.col(topics), F.lit("[]")))
     hits = F.filter(F.transform(lists, F.lower), lambda c: c.isin(*wanted))
     out = rows.select(strip(F.coalesce(F.col(text), F.lit(""))).alias("text"), hits.alias("hits"))
-    return out.filter((F.size("hits") == 1) & (F.col("text") != "")).select("text", F.col("hits")[0].alias("label"))
+    return out.filter((F.size("hits") == 1) & (F.lit(blank) | (F.col("text") != ""))).select("text", F.col("hits")[0].alias("label"))
 
 
 def corpus_tsv(spark: SparkSession, path: str) -> DataFrame:
