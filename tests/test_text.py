@@ -71,3 +71,14 @@ def test_all_algorithms_give_phrases(spark):
         assert out.select("doc_id").distinct().count() == 5, name
     with pytest.raises(ValueError):
         keyphrase.KeyphraseExtractor("none")
+
+
+def shuffled(df):
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_yake_terms_stay_within_documents(spark):
+    got = keyphrase.yake_terms(docs(spark, "Don't stop. It stops, it (it) stop!\n\nStop it", " ", None, "..."))
+    assert not shuffled(got)
+    rows = {r["term"]: tuple(r)[2:] for r in got.collect()}
+    assert rows == {"don": (1, 1, 0, 0, 1, 1, 0), "stop": (3, 3, 2, 2, 1, 1, 0), "it": (4, 2, 3, 3, 3, 3, 1), "stops": (1, 1, 1, 1, 1, 1, 1)}
