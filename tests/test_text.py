@@ -82,3 +82,10 @@ def test_yake_terms_stay_within_documents(spark):
     assert not shuffled(got)
     rows = {r["term"]: tuple(r)[2:] for r in got.collect()}
     assert rows == {"don": (1, 1, 0, 0, 1, 1, 0), "stop": (3, 3, 2, 2, 1, 1, 0), "it": (4, 2, 3, 3, 3, 3, 1), "stops": (1, 1, 1, 1, 1, 1, 1)}
+
+
+def test_yake_stays_within_documents(spark):
+    got = keyphrase.yake(docs(spark, "Solar system, solar system; big planets. The solar system (old) system.", "", None))
+    assert not shuffled(got)
+    want = ["system", "solar", "solar system", "planets", "big", "old"]
+    assert [(r["rank"], r["phrase"]) for r in got.collect()] == list(enumerate(want, 1))
