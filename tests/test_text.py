@@ -89,3 +89,11 @@ def test_yake_stays_within_documents(spark):
     assert not shuffled(got)
     want = ["system", "solar", "solar system", "planets", "big", "old"]
     assert [(r["rank"], r["phrase"]) for r in got.collect()] == list(enumerate(want, 1))
+
+
+def test_keybert_stays_within_documents(spark):
+    got = keyphrase.keybert(docs(spark, "red café", "café red_fox 42 red"))
+    assert not shuffled(got)
+    twice = keyphrase.keybert(spark.createDataFrame([(1, "red café"), (1, "café red fox"), (2, "red café")], "doc_id long, text string")).collect()
+    assert column(spark, ["", " \n\u2003", None, " a "], T.blank) == [True, True, True, False]
+    assert len({(r["doc_id"], r["phrase"]) for r in twice}) == len(twice) == 9 and max(r["score"] for r in twice) <= 1 + 1e-9
