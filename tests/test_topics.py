@@ -21,6 +21,14 @@ def test_dedup_is_strict_and_greedy(spark):
     assert anchors.greedy_dedup(vectors(spark, rows), None).count() == 4
 
 
+def test_dedup_compares_equal_vectors_once(spark, monkeypatch):
+    rows = [(i, ((1, 0), (0, 0), (0.8, 0.6), (0, 1))[i % 4]) for i in range(400)]
+    pairs, seen = anchors.near_pairs, []
+    monkeypatch.setattr(anchors, "near_pairs", lambda r, *a: seen.append(r.count()) or pairs(r, *a))
+    got = [sorted(r["rank"] for r in anchors.greedy_dedup(vectors(spark, rows), 0.8, fold).collect()) for fold in (0, 1000)]
+    assert got[0] == got[1] == sorted([0, *range(1, 400, 4), 3]) and seen == [103]
+
+
 def test_mmr_cap_single_and_softmax(spark):
     topics = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0])], "topic_id int, centroid array<double>")
     words = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.8, 0.6])], "word string, embedding array<double>")
