@@ -103,6 +103,17 @@ def test_lda_keeps_all_words(spark):
         assert sum(x for _, _, x in mine) == pytest.approx(1) and [n for n, _, _ in sorted(mine)] == list(range(1, len(mine) + 1))
 
 
+def test_svm_passes_serve_all_classes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal([4.0 * (i % 5 == k) for k in range(5)], 0.5)] + [1.0], i % 5) for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    spark.sparkContext.setJobGroup("svm", "svm")
+    got = baselines.linear_svm(v.filter("vec_id < 200"), v.filter("vec_id >= 200")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("svm"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(got) == 100 and sum(r["label"] == r["pred"] for r in got) >= 99 and jobs < 150
+
+
 def test_nmf_converges_either_way(spark):
     rng = np.random.default_rng(2)
     x = (rng.random((12, 3)) * (rng.random((12, 3)) < 0.5)) @ (rng.random((3, 9)) * (rng.random((3, 9)) < 0.5))
