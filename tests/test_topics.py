@@ -103,6 +103,19 @@ def test_lda_keeps_all_words(spark):
         assert sum(x for _, _, x in mine) == pytest.approx(1) and [n for n, _, _ in sorted(mine)] == list(range(1, len(mine) + 1))
 
 
+def test_words_stay_in_their_documents(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{'ab'[i % 2]}x{'cdefghij'[w]}" for w in rng.integers(0, 8, 30)) for i in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (40, None), (41, "the 12"), (42, "axc axd")], "doc_id long, text string")
+    tokens = sample.preprocess(docs)
+    assert "Exchange" not in tokens._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: r["tokens"] for r in tokens.collect()}
+    assert got == {i: t.split() for i, t in enumerate(texts)}
+    held = [{r["word"]: r["weight"] for r in baselines.lda_topics(tokens, k=2, n_words=99).collect() if r["topic_id"] == t} for t in (0, 1)]
+    sides = sorted(round(sum(x for w, x in h.items() if w[0] == "a"), 2) for h in held)
+    assert sides[0] < 0.05 and sides[1] > 0.95 and all(len(h) == 16 for h in held)
+
+
 def test_svm_passes_serve_all_classes(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal([4.0 * (i % 5 == k) for k in range(5)], 0.5)] + [1.0], i % 5) for i in range(300)]
