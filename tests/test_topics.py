@@ -142,6 +142,30 @@ def test_nmf_converges_either_way(spark):
     assert np.linalg.norm(product() - x) < 0.05 * np.linalg.norm(x)
 
 
+def test_nmf_keeps_documents_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'ab'[i % 2]}x{'cdefghij'[w]}" for w in rng.integers(0, 8, 30)) for i in range(40)]
+    rows = [(i, t, "test" if i % 8 == 7 else "train") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (40, None, "train"), (41, "the of", "test"), (3, "axc", "train"), (4, "bxc bxc", "val")], "doc_id long, text string, split string")
+    weights = baselines.tfidf_features(docs)
+    assert "Exchange" not in weights._jdf.queryExecution().executedPlan().toString()  # the phrases stay with their documents
+    tf = {}
+    for r in docs.collect():
+        for t in (r["text"] or "").split():
+            tf[r["doc_id"], r["split"], t] = tf.get((r["doc_id"], r["split"], t), 0) + 1
+    n = docs.filter("split = 'train'").count()
+    df = {t: sum(s == "train" and u == t for _, s, u in tf) for _, _, t in tf}
+    raw = [(i, t, (1 + math.log(c)) * (math.log((1 + n) / (1 + df[t])) + 1)) for (i, _, t), c in tf.items() if 3 <= df[t] <= 0.95 * n]
+    norm = {i: math.sqrt(sum(x * x for j, _, x in raw if j == i)) for i, _, _ in raw}
+    want = sorted((i, t, x / norm[i]) for i, t, x in raw)
+    got = sorted(tuple(r) for r in weights.collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-12)
+    apart = spark.createDataFrame(got, "doc_id long, phrase string, weight double").repartition(5, "phrase")
+    sides = [{r["phrase"]: r["h"] for r in baselines.nmf(x, k=2, few=few)[1].collect()} for x, few in ((weights, 0), (apart, 0), (apart, 10**6))]
+    assert all(s.keys() == sides[0].keys() and np.allclose([s[p] for p in s], [sides[0][p] for p in s], atol=1e-6) for s in sides)
+    assert len({(p[0], int(np.argmax(h))) for p, h in sides[0].items()}) == 2
+
+
 def test_registered_baselines_run_in_full(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(baselines, "lda_topics", lambda docs, **how: seen.update(lda=how) or spark.createDataFrame([], "weight double"))
