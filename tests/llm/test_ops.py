@@ -128,6 +128,34 @@ def test_packing_encodes_as_the_tokenizer_does():
         assert few.encode(text.encode()).tolist() == tk.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_asks_the_model_for_letters_and_marks():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk, enc, slow = Tokenizer.from_file(path), packing.WordEncoder(path, 500), packing.WordEncoder(path, 500)
+    slow.direct = False  # as for a tokenizer that is not known
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x180)]]
+    bits = ["abc", "Éa", "ſß", "don't", "'s", "$$$", ",%%%", "!!", "_", "<|endoftext|>", "1", "\u0301", "\u00a0", " ", " \n", "\0", "中"]
+    texts = ["", " ", *letters, *(x + "e&&&" for x in letters), *("".join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(600))]
+    want = [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.encode_all([t.encode() for t in texts])] == [x.tolist() for x in slow.encode_all([t.encode() for t in texts])] == want
+    assert enc.encode_all([]) == [] and [len(x) for x in enc.encode_all([b"", b" "])] == [0, 0]
+    asked, text = [], "Zzqa zzqa!? éZzq$$$ zzqa"
+    enc.encode_batch = lambda batch, **k: asked.extend(batch) or tk.encode_batch(batch, **k)
+    assert enc.encode(text.encode()).tolist() == tk.encode(text).ids and asked == []
+
+
+def test_packing_numbers_words_once_where_marks_stand_alone_too():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk, enc = Tokenizer.from_file(path), packing.WordEncoder(path)
+    for text in ("abc. . a1", "zzb2", "q7", "a1", "abc$$$ $$$ a3", "b4", "a3 . $$$ abc."):
+        assert enc.encode(text.encode()).tolist() == tk.encode(text).ids
+
+
 @pytest.mark.parametrize(("parts", "waste"), [(1, 0.01), (8, 0.01), (70, 0.02)])
 def test_packing_fills_sequences_at_any_depth(spark, parts, waste):
     """1, 2 and 4 levels, against the least number of sequences that the tokens need."""

@@ -10,11 +10,13 @@ fit leaves one a task). Levels are written tables, so a lost executor costs one
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,46 @@ FILLS = (0.98, 0.9, 0.8, 0.65, 0.5)
 FAN_IN = 8
 #: Words that a Python worker remembers at most, some 150 bytes each.
 WORDS = 800_000
-#: Marks that the tokenizer parts from the letters before them.
-MARKS = frozenset(b"%c" % c for c in b".,;:!?")
+#: Bytes of text that are looked up together; a longer text goes alone.
+CHUNK = 1 << 20
+#: Marks that the tokenizer parts from the letters before them, a run of them as one.
+MARKS = string.punctuation.encode()
+#: By byte: not white space, as ``bytes.split`` has it.
+SOLID = ~np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: Letters that neither composition nor lower-casing turns into more than a letter.
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]{1,999}").fullmatch
+#: What parts and changes texts in the tokenizer of the contract, as ``__getstate__`` tells it, and its special tokens.
+#: It hands lower-case Latin letters and runs of marks to its model unchanged but for BYTES.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+SPECIAL = {"<|startoftext|>", "<|endoftext|>"}
+#: The letter that stands for each byte in a byte-level vocabulary.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = dict(zip([*PRINTED, *sorted(set(range(256)) - set(PRINTED))], map(chr, [*PRINTED, *range(256, 324)]), strict=True))
+
+
+def strung(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` of these begins and sizes, in turn."""
+    n = size.astype(np.int64)
+    ends = np.cumsum(n)
+    place = np.repeat(begin - (ends - n), n)
+    place += np.arange(len(place))
+    return flat[place]
+
+
+def parted(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of texts, each word's number among them, and the number of words up to each text's end."""
+    solid = SOLID[body := np.frombuffer(b" ".join(texts), np.uint8)]
+    edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    begin, end = edges[::2], edges[1::2]
+    offsets = np.zeros(len(begin) + 1, np.int32)
+    np.cumsum(end - begin, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(body[solid])]).dictionary_encode()
+    until = np.cumsum([len(t) + 1 for t in texts])
+    _, ends, held = words.dictionary.buffers()
+    ends, held = np.frombuffer(ends or b"\0" * 4, np.int32)[: len(words.dictionary) + 1].tolist(), (held or b"") and held.to_pybytes()
+    return [held[i:j] for i, j in pairwise(ends)], words.indices.to_numpy(), np.searchsorted(begin, until)
 
 
 class WordEncoder:
@@ -51,7 +89,15 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the fast one keeps no offsets
-        self.most = words
+        self.most, self.model = words, self.tokenizer.model
+        state = lambda x: x and json.loads(x.__getstate__())
+        #: Whether the model may be asked for words of letters or of marks without what comes before it.
+        self.direct = (
+            (state(self.tokenizer.normalizer), state(self.tokenizer.pre_tokenizer))
+            == (NORMALIZER, {"type": "Sequence", "pretokenizers": [SPLIT, BYTE_LEVEL]})
+            and {str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()} <= SPECIAL
+            and self.tokenizer.truncation is self.tokenizer.padding is None
+        )
         #: Whether an id ends a word; the vocabulary writes that as a suffix.
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -68,11 +114,7 @@ class WordEncoder:
 
     def gather(self, at: np.ndarray) -> np.ndarray:
         """The ids of known words, by number, in turn."""
-        n = self.size[at].astype(np.int64)
-        ends = np.cumsum(n)
-        place = np.repeat(self.begin[at] - (ends - n), n)
-        place += np.arange(len(place))
-        return self.flat[place]
+        return strung(self.flat, self.begin[at], self.size[at])
 
     def put(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         at, used = len(self.index), self.used + len(ids)
@@ -100,25 +142,38 @@ class WordEncoder:
             self.put(held, ids, sizes)
 
     def learn(self, new: list[bytes]) -> None:
-        """Ids of new words. Latin letters and one mark behind them are looked up in parts."""
+        """Ids of new words. Latin letters and marks behind them are looked up in parts."""
         cores: list[bytes] = []
-        cut: list[tuple[bytes, bytes]] = []
+        cut: list[bytes] = []  # letters and marks of each of these in turn
         whole: list[bytes] = []
         other: list[bytes] = []
         for w in new:
-            core, mark = (w[:-1], w[-1:]) if w[-1:] in MARKS else (w, b"")
+            core = w.rstrip(MARKS) or w  # marks alone are a part themselves: no word may be put twice
+            mark = w[len(core) :]
             if core.isalpha():  # of bytes: ASCII letters only
                 core = core.lower()
-            elif core.isascii() or not LATIN(core.decode()):
+            elif not core.strip(MARKS):
+                pass
+            elif core.isascii() or not LATIN(letters := core.decode()):
                 other.append(w)
                 continue
+            else:
+                core = letters.lower().encode()
             cores.append(core)
             if core != w:
                 whole.append(w)
-                cut.append((core, mark))
-        todo = [x for x in dict.fromkeys([*cores, *(m for _, m in cut)]) if x not in self.index]
+                cut += (core, mark)
+        todo = [x for x in dict.fromkeys(cores + cut[1::2]) if x not in self.index]
         for k in range(0, len(todo), 4096):
             part = todo[k : k + 4096]
+            if self.direct:
+                flat: list[int] = []
+                ends_at: list[int] = []
+                for x in part:
+                    flat += [t.id for t in self.model.tokenize(x.decode() if x.isascii() else x.decode("latin-1").translate(BYTES))]
+                    ends_at.append(len(flat))
+                self.put(part, np.array(flat, self.flat.dtype), np.diff(ends_at, prepend=0))
+                continue
             ids = np.array(self.tokenized([b" ".join(part)])[0], self.flat.dtype)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
@@ -126,16 +181,17 @@ class WordEncoder:
             else:  # a tokenizer that doesn't end each word with a mark of its own
                 self.put_lists(part, self.tokenized(part))
         if whole:  # no mark is the empty word, number 0
-            parts = np.array([(self.index[c], self.index[m]) for c, m in cut], np.int64)
-            self.put(whole, self.gather(parts.ravel()), self.size[parts].sum(axis=1))
+            parts = np.fromiter(map(self.index.__getitem__, cut), np.int64, len(cut))
+            self.put(whole, self.gather(parts), self.size[parts].reshape(-1, 2).sum(axis=1))
         for k in range(0, len(other), 4096):
             part = other[k : k + 4096]
             self.put_lists(part, self.tokenized(part))
 
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.uint32)
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text. Texts are taken together so that a word is looked up once, however often they say it."""
+        if not texts:
+            return []
+        words, codes, until = parted(texts)
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if len(self.index) > self.most // 2:
@@ -146,9 +202,15 @@ class WordEncoder:
                 at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
                 missing = np.flatnonzero(at < 0)
             new = [words[i] for i in missing.tolist()]
-            self.learn(list(dict.fromkeys(new)))
+            self.learn(new)
             at[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
-        return self.gather(at).astype(np.uint32)
+        size = self.size[at]
+        own = size[codes]
+        ids = strung(self.gather(at), (np.cumsum(size) - size)[codes], own)
+        return np.split(ids, np.concatenate([[0], np.cumsum(own)])[until[:-1]])
+
+    def encode(self, text: bytes) -> np.ndarray:
+        return self.encode_all([text])[0].astype(np.uint32)
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -161,6 +223,19 @@ def encoder(path: str, words: int) -> WordEncoder:
     return _encoders[path, words]
 
 
+def encoded(texts: pa.Array, memory: WordEncoder) -> Iterator[np.ndarray]:
+    """The ids of each text (null: none), looked up by chunks."""
+    held, size = [], 0
+    for body in texts:
+        text = body.as_py() or b""
+        if held and size + len(text) > CHUNK:
+            yield from memory.encode_all(held)
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    yield from memory.encode_all(held)
+
+
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     """Items by bin, longest first, each into the bin with the least room that takes it; ties to the latest bin."""
     bins: list[list[int]] = []
@@ -258,11 +333,11 @@ def pack(
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = encoder(tokenizer, words)
-        encode, narrow, numbers, items = memory.encode, memory.flat.dtype.newbyteorder("<"), iter(range(1 << 32)), []
+        narrow, numbers, items = memory.flat.dtype.newbyteorder("<"), iter(range(1 << 32)), []
         for b in batches:
             done = []
-            for who, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(encode(body.as_py() or b""), np.uint32(end_id)).astype("<u4")
+            for who, own in zip(b.column(0).to_pylist(), encoded(b.column(1), memory), strict=True):
+                ids = np.append(own.astype("<u4"), np.array([end_id], "<u4"))
                 for piece, start in enumerate(range(0, len(ids), length)):
                     part = ids[start : start + length]
                     held = [part.astype(narrow).tobytes()] if with_ids else []
